@@ -6,10 +6,12 @@ import importlib
 
 #: query: (module, its function, its SQL)
 _PLACES = {
+    "op3_langid": ("langid", "op3_langid", None),
     "op5_audio": ("audio", "op5_audio", None),
     "op6_byte_bpe": ("byte_bpe", "op6_byte_bpe", None),
     "op7_chat": ("chat", "op7_chat", "OP7_SQL"),
     "op8_warc": ("warc", "op8_warc", "OP8_SQL"),
+    "op9_quality": ("quality", "op9_quality", None),
 }
 
 
