@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from packframe.llm.common import map_batches, rows_of, stored, table
 from packframe.llm.langid import remainder
@@ -97,7 +98,7 @@ class Discriminant:
 
 def measure(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of every row with x: array<double> of FEATURES."""
-    schema = docs.select(*keep).schema.add("x", "array<double>")
+    schema = docs.select(*keep).schema.add("x", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
