@@ -7,6 +7,7 @@ import importlib
 #: query: (module, its function, its SQL)
 _PLACES = {
     "op3_langid": ("langid", "op3_langid", None),
+    "op4_packing": ("packing", "op4_packing", None),
     "op5_audio": ("audio", "op5_audio", None),
     "op6_byte_bpe": ("byte_bpe", "op6_byte_bpe", None),
     "op7_chat": ("chat", "op7_chat", "OP7_SQL"),
