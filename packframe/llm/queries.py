@@ -13,6 +13,7 @@ _PLACES = {
     "op7_chat": ("chat", "op7_chat", "OP7_SQL"),
     "op8_warc": ("warc", "op8_warc", "OP8_SQL"),
     "op9_quality": ("quality", "op9_quality", None),
+    "op10_ann": ("ann", "op10_ann", None),
 }
 
 
