@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of one Arrow batch between the JVM and a Python worker; a single longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
@@ -34,6 +34,19 @@ def rows_of(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.Reco
         yield batch.slice(at, step)
 
 
+def add_columns(df: DataFrame, keep: list[str], text_col: str, fields: list[StructField], function: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """The columns `keep` of every row, and `fields`, which `function` makes of the texts of some rows at a time."""
+    rows = df.select(*keep) if text_col in keep else df.select(*keep, text_col)
+    at, n = rows.columns.index(text_col), len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rows_of(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *function(part.column(at))], [*keep, *(f.name for f in fields)])
+
+    return map_batches(rows, run, StructType([*df.select(*keep).schema.fields, *fields]))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 

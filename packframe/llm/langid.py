@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from packframe.llm.common import map_batches, rows_of, table
+from packframe.llm.common import add_columns, map_batches, rows_of, table
 from packframe.llm.shingles import mix64
 
 DIMENSIONS = 1024
@@ -129,15 +130,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
 
 def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of every row with lang_pred and score."""
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    def predict(texts: pa.Array) -> list[pa.Array]:
+        found = [profiles.predict(t.as_py()) for t in texts]
+        return [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in rows_of(batch):
-                found = [profiles.predict(t.as_py()) for t in part.column(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
-
-    return map_batches(docs.select(*keep, F.col(text_col).alias("packframe_text")), run, schema)
+    return add_columns(docs, keep, text_col, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], predict)
 
 
 def accept(found: DataFrame, least: float = LEAST) -> Column:

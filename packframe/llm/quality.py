@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField
 
-from packframe.llm.common import map_batches, rows_of, stored, table
+from packframe.llm.common import add_columns, map_batches, stored, table
 from packframe.llm.langid import remainder
 from packframe.llm.shingles import words
 
@@ -98,16 +98,11 @@ class Discriminant:
 
 def measure(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of every row with x: array<double> of FEATURES."""
-    schema = docs.select(*keep).schema.add("x", ArrayType(DoubleType()))
+    def run(texts: pa.Array) -> list[pa.Array]:
+        x = statistics(texts.cast(pa.binary()).to_pylist())
+        return [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES)), pa.int32()), pa.array(x.ravel()))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in rows_of(batch):
-                x = statistics(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist())
-                offsets = pa.array(np.arange(0, x.size + 1, len(FEATURES)), pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], [*part.schema.names[:-1], "x"])
-
-    return map_batches(docs.select(*keep, F.col(text_col).alias("packframe_text")), run, schema)
+    return add_columns(docs, keep, text_col, [StructField("x", ArrayType(DoubleType()))], run)
 
 
 def fit(measured: DataFrame) -> Discriminant:
@@ -146,6 +141,11 @@ def score(measured: DataFrame, model: Discriminant, keep: list[str]) -> DataFram
     return map_batches(measured.select(*keep, "x"), run, schema)
 
 
+def score_texts(docs: DataFrame, model: Discriminant, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns `keep` of every row, and score, in one pass over the texts."""
+    return add_columns(docs, keep, text_col, [StructField("score", DoubleType())], lambda texts: [pa.array(model.score(statistics(texts.cast(pa.binary()).to_pylist())))])
+
+
 def learnable(id_col: str = "doc_id"):
     return remainder(id_col, 3) != 1
 
