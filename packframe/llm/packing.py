@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -58,6 +59,17 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, missing: set[str]) -> None:
+        """Puts words into the memory.  Marks behind letters are a token sequence of their own: both parts are looked up."""
+        ends = {w: base for w in missing if (base := w.rstrip(string.punctuation)) != w and base.isalpha() and not _NOT_PLAIN(base)}
+        parts = (missing - ends.keys()).union(ends.values(), (w[len(base) :] for w, base in ends.items()))
+        for w in parts.difference(self.new).intersection(self.old):
+            self.new[w] = self.old[w]
+        unknown = list(parts.difference(self.new))
+        self.new.update(zip(unknown, self._ids(unknown), strict=True))
+        for w, base in ends.items():
+            self.new[w] = self.new[base] + self.new[w[len(base) :]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as native (little-endian) unsigned 32-bit integers."""
         split = [None if _NO_BLANKS(t) else t.split() if _NOT_PLAIN(t) else t.lower().split() for t in texts]
@@ -66,8 +78,7 @@ class WordTokenizer:
         again = need.intersection(self.old)
         for w in again:
             self.new[w] = self.old[w]
-        missing = list(need.difference(again))
-        self.new.update(zip(missing, self._ids(missing), strict=True))
+        self._learn(need.difference(again))
         self.held += sum(map(len, need))
         get = self.new.__getitem__
         out = [self._ids([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
@@ -90,7 +101,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacit
         own = tokenizer(path)
         end = np.array([END_TOKEN], "<u4").tobytes()
         for batch in batches:
-            for part in rows_of(batch, 2 << 20):
+            for part in rows_of(batch):
                 rows: list[tuple] = []
                 blobs: list[bytes] = []
                 for i, ids in zip(part.column(0).to_pylist(), own.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
