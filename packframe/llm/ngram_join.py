@@ -40,10 +40,11 @@ from packframe.llm.components import components
 from packframe.llm.shingles import shingle_sets
 
 WORDS = 5
-#: Rows of the table of frequent shingles; what a task must see of a shingle, at least, in so many shingles, to name it.
-MOST_FREQUENT, SEEN, SEEN_IN = 500_000, 3, 4_000_000
+#: Rows of the table of frequent shingles, and the least count in it; what a task must see of a shingle, at least, in
+#: so many shingles, to name it.
+MOST_FREQUENT, FREQUENT, SEEN, SEEN_IN = 500_000, 8, 2, 4_000_000
 #: Sets sharing a shingle up to which pairs are made; sets of a block.
-FEW, BLOCK = 16, 4096
+FEW, BLOCK = 32, 4096
 #: Ids of sets up to which a table is broadcast to find their texts; beyond, texts are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -188,7 +189,7 @@ def frequent(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
         keep = count >= SEEN
         return pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(count[keep])], ["shingle", "n"])
 
-    sums = map_batches(texts, run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > FEW)
+    sums = map_batches(texts, run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     got = sums.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas()
     value = got["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(value)
