@@ -141,6 +141,10 @@ def encoder(path: str | None = None, pattern: str | None = None) -> Encoder:
     return Encoder(ranks, pattern or public_tokenizers.PATTERN)
 
 
+def release() -> None:
+    encoder.cache_clear()
+
+
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, ids: binary of little-endian unsigned 32-bit ids."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,12 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release_others(owner: str) -> None:
+    """Lets go of what other operators of this subpackage keep in this worker between tasks."""
+    for name, module in list(sys.modules.items()):
+        if name.startswith("packframe.llm.") and name != owner and hasattr(module, "release"):
+            module.release()
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches of about BATCH_BYTES, so that long texts don't add up in a worker."""
-    conf = df.sparkSession.conf
+    conf, owner = df.sparkSession.conf, function.__module__
     if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))) > BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others(owner)
+        yield from function(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def rows_of(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

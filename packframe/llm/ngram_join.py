@@ -180,14 +180,18 @@ def frequent(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
             size += len(s)
             if size >= SEEN_IN:
                 yield counted(held)
-                held, size = [], 0
+                size = 0
         if held:
             yield counted(held)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        value, count = np.unique(np.concatenate(held), return_counts=True)
+        value = np.concatenate(held)
+        held.clear()
+        value.sort()
+        first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+        count = np.diff(np.append(first, len(value)))
         keep = count >= SEEN
-        return pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(count[keep])], ["shingle", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(value[first[keep]].view(np.int64)), pa.array(count[keep])], ["shingle", "n"])
 
     sums = map_batches(texts, run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     got = sums.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas()

@@ -94,6 +94,10 @@ def tokenizer(path: str | None = None) -> WordTokenizer:
     return WordTokenizer(path or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def release() -> None:
+    tokenizer.cache_clear()
+
+
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """A row per piece: id, piece, start, length, ids_crc32 (and ids)."""
 

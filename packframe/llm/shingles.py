@@ -11,14 +11,13 @@ depend on how long single words are.  Two different shingles of one pair of docu
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-_LONG = 1 << 22
+#: Bytes of text worked on at a time, but for longer texts.
+_LONG = 1 << 20
 
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -28,17 +27,22 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTES_LOWER = _BYTES[_LOWER]
 
 
-@functools.lru_cache(2)
+_held: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.empty(n, np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64, by doubling; kept up to the usual size."""
+    if len(_held.get(base, ())) >= n:
+        return _held[base][:n]
+    out = np.empty(1 << max(16, (n - 1).bit_length()), np.uint64)
     out[0] = 1
     filled = 1
-    while filled < n:
-        step = min(filled, n - filled)
-        out[filled : filled + step] = out[:step] * np.uint64(pow(base, filled, 1 << 64))
-        filled += step
-    return out
+    while filled < len(out):
+        out[filled : 2 * filled] = out[:filled] * np.uint64(pow(base, filled, 1 << 64))
+        filled *= 2
+    if n <= 2 * _LONG:
+        _held[base] = out
+    return out[:n]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -57,11 +61,10 @@ def words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     edge = np.diff(np.concatenate(([True], _SPACE[buffer], [True])).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    size = 1 << max(16, (n - 1).bit_length())
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTES_LOWER[buffer] * _powers(_P, size)[:n], out=total[1:])
-    value = (total[end] - total[start]) * _powers(_PINV, size)[start]
+    np.cumsum(_BYTES_LOWER[buffer] * _powers(_P, n), out=total[1:])
+    value = (total[end] - total[start]) * _powers(_PINV, n)[start]
     return mix64(value + (end - start).astype(np.uint64)), start, end
 
 
