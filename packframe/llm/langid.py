@@ -128,18 +128,18 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
     return Profiles.of({r["lang"]: np.array([x["value"] for x in r["v"]], np.float64) for r in got})
 
 
-def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of every row with lang_pred and score."""
+def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of every row with the language and the score, under `names`."""
     def predict(texts: pa.Array) -> list[pa.Array]:
         found = [profiles.predict(t.as_py()) for t in texts]
         return [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
 
-    return add_columns(docs, keep, text_col, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], predict)
+    return add_columns(docs, keep, text_col, [StructField(names[0], StringType()), StructField(names[1], DoubleType())], predict)
 
 
-def accept(found: DataFrame, least: float = LEAST) -> Column:
+def accept(names: tuple[str, str] = ("lang_pred", "score"), least: float = LEAST) -> Column:
     """Whether a document is in one of the learned languages."""
-    return (F.col("lang_pred") != "und") & (F.col("score") >= least)
+    return (F.col(names[0]) != "und") & (F.col(names[1]) >= least)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,8 @@ class Discriminant:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         logs = np.full(len(x), self.odds)
+        if not self.means:
+            return 1 / (1 + np.exp(-logs))
         for sign, mean, factor in zip((-1, 1), self.means, self.factors, strict=True):
             z = np.linalg.solve(factor, (x - mean).T)
             logs += sign * (-0.5 * (z * z).sum(0) - np.log(np.diag(factor)).sum())
@@ -141,9 +143,9 @@ def score(measured: DataFrame, model: Discriminant, keep: list[str]) -> DataFram
     return map_batches(measured.select(*keep, "x"), run, schema)
 
 
-def score_texts(docs: DataFrame, model: Discriminant, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of every row, and score, in one pass over the texts."""
-    return add_columns(docs, keep, text_col, [StructField("score", DoubleType())], lambda texts: [pa.array(model.score(statistics(texts.cast(pa.binary()).to_pylist())))])
+def score_texts(docs: DataFrame, model: Discriminant, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """The columns `keep` of every row, and the score, in one pass over the texts."""
+    return add_columns(docs, keep, text_col, [StructField(name, DoubleType())], lambda texts: [pa.array(model.score(statistics(texts.cast(pa.binary()).to_pylist())))])
 
 
 def learnable(id_col: str = "doc_id"):

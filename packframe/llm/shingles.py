@@ -54,12 +54,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word of a byte buffer."""
+def words(buffer: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of a byte buffer.  blank: for each byte value, whether it parts words."""
     n = len(buffer)
     if n == 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    edge = np.diff(np.concatenate(([True], _SPACE[buffer], [True])).view(np.int8))
+    edge = np.diff(np.concatenate(([True], blank[buffer], [True])).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
@@ -68,7 +68,7 @@ def words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64(value + (end - start).astype(np.uint64)), start, end
 
 
-def _combine(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+def combine(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     out = np.full(len(at), (k * 0xD1342543DE82EF95) & _MASK, np.uint64)
     for j in range(k):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD) + h[at + j]
@@ -94,7 +94,7 @@ def _sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     h, start, _ = words(buffer)
     first_byte = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
     first = np.searchsorted(start, first_byte)  # the first word of each text
-    shingles = _combine(h, np.arange(max(0, len(h) - k + 1)), k)
+    shingles = combine(h, np.arange(max(0, len(h) - k + 1)), k)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= k:
@@ -104,7 +104,7 @@ def _sets(texts: list[bytes], k: int) -> list[np.ndarray]:
             np.not_equal(own[1:], own[:-1], out=keep[1:])
             out.append(own[keep])
         elif b > a:
-            out.append(_combine(h[a:b], np.zeros(1, np.int64), b - a))
+            out.append(combine(h[a:b], np.zeros(1, np.int64), b - a))
         else:
             out.append(np.empty(0, np.uint64))
     return out
