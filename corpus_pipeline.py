@@ -17,14 +17,15 @@ from packframe.llm.common import shared_path, stored, table
 
 def in_learned_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = langid.learn(docs.filter(langid.remainder("doc_id", 5) != 0))
-    found = langid.identify(docs, profiles, docs.columns)
-    return found.filter(langid.accept(found)).select(*docs.columns)
+    names = ("packframe_lang", "packframe_score")  # documents may have columns of the usual names
+    found = langid.identify(docs, profiles, docs.columns, names=names)
+    return found.filter(langid.accept(names)).select(*docs.columns)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     measured = stored(quality.measure(docs, ["doc_id"]), "quality")
     model = quality.fit(quality.labelled(measured, table(spark, sf_dir, "labels")))
-    return quality.score_texts(docs, model, docs.columns).filter("score >= 0.5").select(*docs.columns)
+    return quality.score_texts(docs, model, docs.columns, name="packframe_score").filter("packframe_score >= 0.5").select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
