@@ -43,14 +43,18 @@ def unquote_string(text: Column) -> Column:
 def number_text(x: Column) -> Column:
     """Shortest digits of a double: plain from 1e-6 up to 2**53, else with an exponent; what isn't finite is 0."""
     size = F.abs(x)
-    # the shortest form that reads back as the same number
-    forms = [F.format_string(f"%.{digits}e", x) for digits in range(17)]
-    shortest = F.coalesce(*(F.when(f.cast("double") == x, f) for f in forms), forms[-1])
-    mantissa, exponent = F.substring_index(shortest, "e", 1), F.substring_index(shortest, "e", -1).cast("int")
+    # the shortest form that reads back as the same number; bound by lambdas, so that it stands in the plan once
+    forms = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda d: F.call_function("format_string", F.concat(F.lit("%."), d.cast("string"), F.lit("e")), x))
+    exact = F.filter(forms, lambda f: f.cast("double") == x)
+
+    def written(form: Column) -> Column:
+        exponent = F.substring_index(form, "e", -1).cast("int")
+        return F.concat(F.substring_index(form, "e", 1), F.when(exponent < 0, "e-").otherwise("e+"), F.abs(exponent).cast("string"))
+
     return (
         F.when(F.isnan(x) | (size == float("inf")) | (x == 0), "0")
         .when((size >= 1e-6) & (size < 2.0**53), F.call_function("format_number", x, F.lit(_PLAIN_DIGITS)))
-        .otherwise(F.concat(mantissa, F.when(exponent < 0, "e-").otherwise("e+"), F.abs(exponent).cast("string")))
+        .otherwise(F.element_at(F.transform(F.slice(exact, 1, 1), written), 1))
     )
 
 

@@ -149,7 +149,7 @@ def read_sections(lines: DataFrame) -> tuple[dict[str, str], list[Section], Data
             sections.append(Section(unquote(name) if name[:1] == '"' else name, parse_count(text[at + 1 : close]), fields, key, row["pos"]))
         except WireError as e:
             raise WireError("delta_invalid", str(e)) from e
-    data = ~F.col("line").startswith("## ") & ~F.col("line").startswith("##! ") & ~F.col("line").startswith("# ") & (F.col("pos") > tops[0]["pos"])
+    data = ~F.col("line").startswith("## ") & ~F.col("line").startswith("##! ") & ~F.col("line").startswith("# ") & (F.col("pos") > tops[0]["pos"]) & (F.col("line") != "")
     body = own.select("pos", F.when(data, F.col("line")).alias("line")).filter("line is not null")
     number = F.lit(-1)
     for i, s in enumerate(sections):

@@ -118,7 +118,7 @@ def decode_graph(lines: DataFrame) -> tuple[dict[str, object], DataFrame, DataFr
     fail = lambda code, kind: F.raise_error(F.concat(F.lit(code + ": "), F.col("line"))).cast(kind)
     bodies = body.select("pos", "line", is_edge.alias("e"), distance.alias("distance"))
     # lines of the other kind are nulled as well: the optimizer may compute a column before a filter
-    s, e = (bodies.select("pos", F.when((F.col("e") == w) & (F.col("pos") > tops[0]["pos"]) & ~F.col("line").startswith("#"), F.col("line")).alias("line"), "distance").filter("line is not null").withColumn("p", parts) for w in (False, True))
+    s, e = (bodies.select("pos", F.when((F.col("e") == w) & (F.col("pos") > tops[0]["pos"]) & ~F.col("line").startswith("#") & (F.col("line") != ""), F.col("line")).alias("line"), "distance").filter("line is not null").withColumn("p", parts) for w in (False, True))
     wide = F.size("p") >= 5
     ident, value = F.regexp_extract("line", r"\A@(-?[0-9]+) ", 1).try_cast("long"), F.try_element_at("p", F.lit(4)).try_cast("double")
     symbols = s.select(
@@ -195,7 +195,7 @@ def decode_delta(lines: DataFrame) -> tuple[dict[str, str], DataFrame, DataFrame
         if name not in ("removed", "added", "edges_removed", "edges_added"):
             raise WireError("malformed_delta", f"unknown section {name}")
         section = F.when(F.col("pos") > row["pos"], name).otherwise(section)
-    data = (F.col("pos") > tops[0]["pos"]) & ~F.col("line").startswith("## ")
+    data = (F.col("pos") > tops[0]["pos"]) & ~F.col("line").startswith("## ") & (F.col("line") != "")
     body = clean.select("pos", F.when(data, F.col("line")).alias("line")).filter("line is not null").select("line", section.alias("s"), F.filter(F.split("line", "[ \t]+"), lambda x: x != "").alias("p"))
     p = lambda i: F.try_element_at("p", F.lit(i))
     bad = F.raise_error(F.concat(F.lit("malformed_delta: "), F.col("line"))).cast("string")

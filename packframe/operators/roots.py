@@ -61,7 +61,7 @@ def graph_records(symbols: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
             F.lit("\t"), F.col("distance").cast("string"), F.lit("\n"),
         ).alias("r")
     )
-    last = F.max_by("kind", "_pos") if "_pos" in symbols.columns else F.max("kind")
+    last = F.max_by("kind", F.coalesce("_pos", F.lit(-1))) if "_pos" in symbols.columns else F.max("kind")
     kinds = symbols.groupBy("qualifiedName").agg(abbreviate_kind(last).alias("k"))
     source, target = (kinds.select(F.col("qualifiedName").alias(n), F.col("k").alias(f"{n}_kind")) for n in ("source", "target"))
     joined = edges.select("source", "target", "edgeType").join(source, "source", "left").join(target, "target", "left")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SCHEMA = "session string, call long, qualifiedName string, id long, known boolean"
@@ -20,7 +21,7 @@ class _Seen(StatefulProcessor):
         self.size = handle.getValueState("size", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        got = pd.concat(list(rows)).sort_values(["call", "_pos"], kind="stable")
+        got = pd.concat(list(rows)).sort_values(["call", "place"], kind="stable")
         n = self.size.get()[0] if self.size.exists() else 0
         out, fresh = [], {}
         for call, name in zip(got["call"], got["qualifiedName"], strict=True):
@@ -47,4 +48,5 @@ def dedup_stream(calls: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
     Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).  With ttl_ms a name that was recorded
     longer ago is forgotten and gets a new id; without, state grows with the names of a session."""
-    return calls.groupBy("session").transformWithStateInPandas(statefulProcessor=_Seen(ttl_ms), outputStructType=SCHEMA, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+    rows = calls.select("session", "call", F.col("_pos").alias("place"), "qualifiedName")
+    return rows.groupBy("session").transformWithStateInPandas(statefulProcessor=_Seen(ttl_ms), outputStructType=SCHEMA, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
