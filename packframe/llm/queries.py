@@ -6,7 +6,7 @@ import importlib
 
 #: query: (module, its function, its SQL)
 _PLACES = {
-    "op1_ngram_join": ("ngram_join", "op1_ngram_join", None),
+    "op1_ngram_join": ("ngram_join", "op1_ngram_join", "OP1_SQL"),
     "op2_licenses": ("licenses", "op2_licenses", None),
     "op3_langid": ("langid", "op3_langid", None),
     "op4_packing": ("packing", "op4_packing", None),
