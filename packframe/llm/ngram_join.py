@@ -45,7 +45,7 @@ WORDS = 5
 MOST_FREQUENT, FREQUENT, SEEN, SEEN_IN = 500_000, 8, 2, 4_000_000
 #: Sets sharing a shingle up to which pairs are made; sets of a block.
 FEW, BLOCK = 32, 4096
-#: Ids of sets up to which a table is broadcast to find their texts; beyond, texts are shuffled.
+#: Sets up to which a table of two ids each is broadcast to find their texts; beyond, texts are shuffled.
 BROADCAST_IDS = 1_000_000
 
 
@@ -268,12 +268,16 @@ def _probe(rows: DataFrame) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[tuple[int, int, np.ndarray]]]]:
         key, held = None, []
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for hub, block, kind, own, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (hub, block) != key:
                     if held:
                         yield key, held
-                    key, held = (hub, block), []
+                    key, held, seen = (hub, block), [], set()
+                if (kind, own) in seen:
+                    continue
+                seen.add((kind, own))
                 held.append((kind, own, np.frombuffer(raw, np.uint64)))
         if held:
             yield key, held
@@ -336,10 +340,10 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: st
     )
     needed = meet.select("set").distinct().join(rows.filter("doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id")), "set")
     needed = stored(needed, "needed")
+    sized = F.broadcast if needed.count() <= BROADCAST_IDS else (lambda df: df)
     ids = needed.select(F.col("doc_id").alias(id_col)).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    content = shingled(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), id_col, text_col, words, True)
-    content = stored(content.join(needed, ["set", "doc_id"], "left_semi").select("set", "shingles").dropDuplicates(["set"]), "sets")
+    content = shingled(docs.select(id_col, text_col).join(sized(ids), id_col, "left_semi"), id_col, text_col, words, True)
+    content = content.join(sized(needed), ["set", "doc_id"], "left_semi").select("set", "shingles")  # a repeated row repeats its set
 
     found = stored(_probe(meet.join(content, "set").select("hub", "block", "kind", "set", "shingles")), "links")
     result = found.filter("not apart").select("a", "b")
