@@ -27,6 +27,9 @@ from packframe.llm.shingles import words
 
 #: Weight of the diagonal in a class's covariance, and the part of the identity, in units of the mean variance.
 SHRINKAGE, RIDGE = 0.1, 1e-3
+#: Bytes and words without anything remarkable that count as part of every text, so that a mark or an echo in a short
+#: one is no large share.
+FEW_BYTES, FEW_WORDS = 100, 30
 
 _KINDS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "line": (10,), "blank": (32, 9, 11, 12, 13), "stop": b".,;:?", "shout": b"!", "bar": b"|", "mark": b"#$%&*+/<=>@[\\]^_`{}~", "other": range(128, 256)}
 _KIND = np.full(256, len(_KINDS), np.uint8)
@@ -52,10 +55,11 @@ def statistics(texts: list[bytes | None]) -> np.ndarray:
             np.log1p(k),
             np.log1p(length.mean() if k else 0),
             np.log1p(length.std() if k else 0),
-            np.sqrt(share["upper"] / max(letters, 1e-9)),
-            *(np.sqrt(share[x]) for x in ("digit", "line", "stop", "shout", "bar", "mark", "other")),
+            np.sqrt(share["upper"] / max(letters, 1e-9) * n / (n + FEW_BYTES)),
+            *(np.sqrt(share[x] * n / (n + FEW_BYTES)) for x in ("digit", "line", "stop", "shout", "bar", "mark")),
+            np.sqrt(share["other"]),
             np.log((len(np.unique(h)) + 1) / (k + 1) ** 0.85),
-            np.sqrt((h[1:] == h[:-1]).mean() if k > 1 else 0),
+            np.sqrt((h[1:] == h[:-1]).sum() / (k + FEW_WORDS)),
             np.log1p(length.max() if k else 0),
         )
     return out
