@@ -173,23 +173,24 @@ def frequent(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     """The most frequent shingles, sorted, and the binary logarithm of their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        held, size = np.empty(SEEN_IN, np.uint64), 0
         for _, s in _distinct_sets(batches, words):
-            held.append(s)
-            size += len(s)
-            if size >= SEEN_IN:
-                yield counted(held)
-                size = 0
-        if held:
-            yield counted(held)
-
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        value = np.concatenate(held)
-        held.clear()
+            for at in range(0, len(s), SEEN_IN):
+                part = s[at : at + SEEN_IN]
+                if size + len(part) > SEEN_IN:
+                    yield repeated(held[:size])
+                    size = 0
+                held[size : size + len(part)] = part
+                size += len(part)
+        if size:
+            yield repeated(held[:size])
+
+    def repeated(value: np.ndarray) -> pa.RecordBatch:
+        """Sorts in place; only what is there more than once takes more memory."""
         value.sort()
-        first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-        count = np.diff(np.append(first, len(value)))
+        same = np.concatenate(([False], value[1:] == value[:-1], [False]))
+        first, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+        count = last - first + 1
         keep = count >= SEEN
         return pa.RecordBatch.from_arrays([pa.array(value[first[keep]].view(np.int64)), pa.array(count[keep])], ["shingle", "n"])
 

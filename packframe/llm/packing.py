@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packframe.llm.common import map_batches, rows_of, stored, table
+from packframe.llm.common import BATCH_BYTES, map_batches, rows_of, stored, table
 
 CAPACITY = 4096
 END_TOKEN = 1
@@ -46,7 +46,8 @@ class WordTokenizer:
     """A tokenizers file that puts texts in lower case and whose ids depend on each blank-separated word alone; words
     are remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.most = memory
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -82,30 +83,32 @@ class WordTokenizer:
         self.held += sum(map(len, need))
         get = self.new.__getitem__
         out = [self._ids([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
-        if len(self.new) >= MEMORY or self.held >= MEMORY_BYTES:
+        if len(self.new) >= self.most or self.held >= MEMORY_BYTES:
             self.old, self.new, self.held = self.new, {}, 0
         return out
 
 
 @functools.lru_cache(2)
-def tokenizer(path: str | None = None) -> WordTokenizer:
+def tokenizer(path: str | None = None, memory: int = MEMORY) -> WordTokenizer:
     import public_tokenizers
 
-    return WordTokenizer(path or public_tokenizers.path("word_bpe_49k.json"))
+    return WordTokenizer(path or public_tokenizers.path("word_bpe_49k.json"), memory)
 
 
 def release() -> None:
     tokenizer.cache_clear()
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """A row per piece: id, piece, start, length, ids_crc32 (and ids)."""
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, memory: int = MEMORY, part_bytes: int = BATCH_BYTES) -> DataFrame:
+    """A row per piece: id, piece, start, length, ids_crc32 (and ids).
+
+    memory and part_bytes (words remembered, text worked on at a time) trade a worker's memory for its time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
+        own = tokenizer(path, memory)
         end = np.array([END_TOKEN], "<u4").tobytes()
         for batch in batches:
-            for part in rows_of(batch):
+            for part in rows_of(batch, part_bytes):
                 rows: list[tuple] = []
                 blobs: list[bytes] = []
                 for i, ids in zip(part.column(0).to_pylist(), own.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
