@@ -35,7 +35,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(stored(packing.cut(docs), "pieces"))
+    # workers still hold what earlier stages left: less is remembered here than in a job of its own
+    return packing.pack(stored(packing.cut(docs, memory=60_000, part_bytes=1 << 20), "pieces"))
 
 
 STAGES = [
