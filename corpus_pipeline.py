@@ -1,9 +1,9 @@
 """A corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one reads it from Parquet.  All but the last
-return the columns of documents: language ID drops documents in none of the learned languages, the quality classifier
-those more likely of label 0, the n-gram join all but the document with the least id of each class of near copies;
-documents without an id stay there.  The last stage packs what is left.
+return the columns of documents: language ID drops documents in none of the learned languages (but those of a few words,
+which it can't tell), the quality classifier those more likely of label 0, the n-gram join all but the document with
+the least id of each class of near copies; documents without an id stay there.  The last stage packs what is left.
 """
 
 from __future__ import annotations

@@ -11,6 +11,10 @@ Texts are lower-cased; each run of characters that aren't letters is one blank,
 Defined results: texts that are null or without letters, and all texts where nothing was learned, get `und` and
 score 0; equal cosines go to the language that sorts first; null languages aren't learned; repeated rows are repeated;
 other columns are ignored; an empty table stays empty.
+
+Of n-grams that weren't learned a text's cosine with a prototype is noise of deviation 1 / sqrt(DIMENSIONS), whatever
+its length.  accept() takes scores of three of these or more.  Texts of fewer than SHORT letters in learned languages
+don't reach that reliably: if they have a letter, they are accepted whatever their score.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from packframe.llm.shingles import mix64
 
 DIMENSIONS = 1024
 N_GRAMS_AT_ONCE = 4096
-#: Least score that accept() takes.
-LEAST = 0.01
+#: Least score that accept() takes: three deviations of noise.
+LEAST = 3 / DIMENSIONS**0.5
+#: Letters from which on accept() asks for that score.
+SHORT = 64
 
 _BASE = 1 << 21
 
@@ -137,9 +143,10 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text_col: str
     return add_columns(docs, keep, text_col, [StructField(names[0], StringType()), StructField(names[1], DoubleType())], predict)
 
 
-def accept(names: tuple[str, str] = ("lang_pred", "score"), least: float = LEAST) -> Column:
-    """Whether a document is in one of the learned languages."""
-    return (F.col(names[0]) != "und") & (F.col(names[1]) >= least)
+def accept(names: tuple[str, str] = ("lang_pred", "score"), least: float = LEAST, text_col: str = "text") -> Column:
+    """Whether a document is in one of the learned languages, or too short to tell."""
+    letters = F.length(F.regexp_replace(text_col, "\\P{L}", ""))
+    return (F.col(names[0]) != "und") & ((F.col(names[1]) >= least) | (letters < SHORT))
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -60,6 +61,36 @@ def test_odd_rows(spark, tmp_path):
         stage(spark, docs.limit(0), str(tmp_path)).collect()
 
 
+UNLEARNED = [
+    "Съешь же ещё этих мягких французских булок да выпей чаю, а потом расскажи нам всем о том, как прошёл вчерашний день в деревне",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα, είναι προικισμένοι με λογική και συνείδηση",
+    "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다 모든 사람은 생명과 신체의 자유와 안전에 대한 권리를 가진다",
+    "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء ولكل إنسان حق التمتع",
+]
+
+
+def test_unlearned_scripts_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rows = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate([*UNLEARNED, *(" ".join([t] * 20) for t in UNLEARNED)])], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.in_learned_languages(spark, docs.unionByName(rows), SF).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
+
+
+def test_noise_is_below_the_floor(spark):
+    rng = np.random.default_rng(0)
+    profiles = langid.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for low, high in ((0x430, 0x450), (0x3B1, 0x3CA), (0xAC00, 0xD7A3), (0x627, 0x64B)):
+        texts = [" ".join("".join(map(chr, rng.integers(low, high, rng.integers(2, 9)))) for _ in range(100)) for _ in range(200)]
+        assert sum(profiles.predict(t)[1] >= langid.LEAST for t in texts) <= 6
+
+
+def test_short_texts_are_not_judged(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = spark.createDataFrame([(-1, "Edstou reinan ed for.", "en"), (-2, "Rehaea lyth erst. Tistth.", "en"), (-3, "12 .", "en")], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.in_learned_languages(spark, docs.unionByName(rows), SF).select("doc_id").filter("doc_id < 0").collect()}
+    assert kept == {-1, -2}
+
+
 def test_registered():
     import __spark_entry__
 
