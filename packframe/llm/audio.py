@@ -8,7 +8,8 @@ the exact number of samples and the byte offset of every frame.
 The writer stores any bytes losslessly in a valid stream: MPEG-1 Layer III, mono, 32 kHz, each frame protected,
 without main data of its own (silence), the payload in the frames' ancillary bytes.  All frames but the last have
 1440 bytes; the last one takes the smallest bitrate that holds the rest.  An ID3v2 tag names the payload's size,
-a Xing frame the number of frames and bytes and a seek table.
+a Xing frame the number of frames and bytes and a seek table.  Where payload would stand in the place of an ID3v1 tag
+and look like one, an empty frame follows.  Reading columns fails if a payload is shorter than its tag says.
 
 Defined results: a null or empty text is 64 zero bytes; a null media value has null columns; bytes without any
 frame have 0 frames and samples; other columns are ignored; repeated rows are repeated; an empty table stays empty.
@@ -124,12 +125,16 @@ def write_audio(payload: bytes) -> bytes:
             else:
                 frames[0, _OVERHEAD : _OVERHEAD + len(own)] = own
             parts.append(frames.tobytes())
+    ends = [full * (_OVERHEAD + _ROOMS[14]), sum(map(len, parts))]  # of the full frames and of the payload
+    if b"".join(parts[-2:])[-128:-125] == b"TAG":
+        empty = _frame_head(1)
+        parts.append((empty + struct.pack(">H", crc16(empty[2:] + bytes(_SIDE)))).ljust(_OVERHEAD + _ROOMS[1], b"\0"))
     sound = b"".join(parts)
-    n = full + bool(rest)
+    n = full + bool(rest) + (len(sound) > ends[1])
     head = _frame_head(5, protected=False)
     size = parse_header(head)[5]
     total = size + len(sound)
-    starts = [min(full, n * i // 100) * (_OVERHEAD + _ROOMS[14]) + size for i in range(100)]
+    starts = [(k * (_OVERHEAD + _ROOMS[14]) if k <= full else ends[1]) + size for k in (n * i // 100 for i in range(100))]
     xing = (head + bytes(_SIDE) + b"Xing" + struct.pack(">III", 7, n, total) + bytes(min(255, s * 256 // total) for s in starts)).ljust(size, b"\0")
     return _id3({"payload_bytes": str(len(payload))}) + xing + sound
 
@@ -266,7 +271,9 @@ def read_audio_columns(df: DataFrame, id_col: str = "doc_id", media_col: str = "
         if media is None:
             return (None,) * 18
         x = read_audio(media)
-        p = x["payload"]
+        p, declared = x["payload"], x["tags"].get("TXXX:payload_bytes", "")
+        if declared.isdigit() and len(p) < int(declared):
+            raise ValueError(f"payload of {len(p)} bytes, {declared} declared")
         return (
             len(media), hashlib.sha256(media).hexdigest(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-_ALIGN:]), x["version"], x["layer"], x["sample_rate"], x["channels"],
             len(x["offsets"]), x["n_samples"], float(x["duration"]), x["offsets"].tolist(), x["crc_ok"], x["crc_bad"], x["skipped"], x["vbr_exact"], list(x["tags"].items()),

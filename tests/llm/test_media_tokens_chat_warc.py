@@ -30,6 +30,32 @@ def test_audio_round_trip(spark):
         assert r["tags"]["TXXX:payload_bytes"] == str(len(payload))
 
 
+@pytest.mark.parametrize("size", [1, 65, 130, 192, 1417 * 2, 1417 * 2 + 70, 1417 * 120 + 90])
+def test_audio_payload_that_looks_like_a_tag(size):
+    for at in {*range(max(0, size - 260), size)}:  # wherever the last 128 bytes begin
+        payload = bytearray(b"x" * size)
+        payload[at : at + 3] = b"TAG"
+        payload = bytes(payload) + bytes(-len(payload) % 64)
+        got = audio.read_audio(audio.write_audio(payload))
+        assert got["payload"] == payload and got["vbr_exact"] and got["skipped"] == 0 and got["crc_bad"] == 0 and "v1:title" not in got["tags"]
+        first = got["vbr"]["start"]
+        want = [got["offsets"][len(got["offsets"]) * i // 100] - first for i in range(100)]
+        assert list(got["vbr"]["toc"]) == [min(255, int(x) * 256 // got["vbr"]["bytes"]) for x in want]
+
+
+def test_audio_texts_that_look_like_tags(spark):
+    texts = ["x" * 65 + "TAG" + "y" * 100, "TAG" * 500]
+    by = {r["doc_id"]: r for r in audio.read_audio_columns(audio.to_audio(docs(spark, texts))).collect() if r["doc_id"] in (0, 1)}
+    assert [by[i]["payload_sha256"] for i in (0, 1)] == [hashlib.sha256((t.encode()).ljust(-(-len(t) // 64) * 64, b"\0")).hexdigest() for t in texts]
+
+
+def test_audio_lost_payload_is_found(spark):
+    media = audio.write_audio(b"x" * 5000)
+    df = spark.createDataFrame([(1, 5000, bytearray(media[:-1440]))], "doc_id long, n_bytes long, media binary")
+    with pytest.raises(Exception, match="declared"):
+        audio.read_audio_columns(df).collect()
+
+
 def test_audio_empty_table(spark):
     assert audio.read_audio_columns(audio.to_audio(docs(spark, []).limit(0))).count() == 0
 
