@@ -44,7 +44,7 @@ _NOT_PLAIN = re.compile("[\u0130\u0250-\U0010ffff]").search
 
 class WordTokenizer:
     """A tokenizers file that puts texts in lower case and whose ids depend on each blank-separated word alone; words
-    are remembered."""
+    are remembered.  Texts that hold a special token's string, in whatever case, go to the library as they are."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         self.most = memory
@@ -52,7 +52,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        self.mark = re.match(r"[^\w]*", os.path.commonprefix(special))[0]  # a quick test before the search
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)", re.IGNORECASE).search
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -73,7 +75,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as native (little-endian) unsigned 32-bit integers."""
-        split = [None if _NO_BLANKS(t) else t.split() if _NOT_PLAIN(t) else t.lower().split() for t in texts]
+        split = [None if _NO_BLANKS(t) or (self.mark in t and self.special(t)) else t.split() if _NOT_PLAIN(t) else t.lower().split() for t in texts]
         need = set().union(*(w for w in split if w))
         need.difference_update(self.new)
         again = need.intersection(self.old)

@@ -129,6 +129,21 @@ def test_word_tokenizer_is_that_of_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == own.inner.encode(t, add_special_tokens=False).ids, t
 
 
+def test_special_tokens_in_texts_have_the_ids_of_the_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|", "<|", "a", "Bé", "\u212a", "日本", " ", " ", "\n", "\x1c", "."]
+    rng = random.Random(5)
+    texts = ["a photo of<|endoftext|>b", "<|STARTOFTEXT|> x <|startoftext|>", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(800))]
+    for t, ids in zip(texts, packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+    got = packing.cut(docs(spark, [texts[0]]), with_ids=True).filter("doc_id = 0").first()
+    assert 49407 in fresh.encode(texts[0], add_special_tokens=False).ids
+    assert np.frombuffer(got["ids"], "<u4").tolist() == [*fresh.encode(texts[0], add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece_once(seed):
     rng = np.random.default_rng(seed)
