@@ -7,7 +7,9 @@ passage that holds LEAST = 0.75 of a template's shingles within the template's l
 or more, and so is retrieved with a probability of at least 1 - 0.48**BANDS, 0.99999 for 16 bands.
 
 What is retrieved is verified exactly: over all places of the text the share of the template's shingles within its
-length is counted, and the matches are the places where it is LEAST or more, overlapping ones put together.
+length is counted, and the matches are the places where it is LEAST or more, overlapping ones put together.  Of
+matches of a family (near relatives, see FAMILIES) that overlap, those stay that no other beats: it holds more of its
+shingles and has a better share, or a template that contains the other's.
 
 Words are runs of letters, digits and bytes from 0x80 on, in lower case.  Defined results: null and empty texts have
 no matches; a text with repeated notices has a row for each; repeated rows are repeated; other columns are ignored; an
@@ -16,6 +18,7 @@ empty table has no matches.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,6 +66,48 @@ TEMPLATES = {
     ),
 }
 
+_WARRANTY = (
+    " is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+)
+
+
+def _gnu(what: str, license: str, version: str) -> str:
+    return (
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {license} as published by the Free Software Foundation, either version {version} of "
+        f"the License, or (at your option) any later version. This {what}{_WARRANTY}See the GNU {license} for more details."
+    )
+
+
+#: More notices, near relatives of the former among them.
+RELATIVES = {
+    "gpl-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0 header": _gnu("program", "General Public License", "2"),
+    "lgpl-2.1 header": _gnu("library", "Lesser General Public License", "2.1"),
+    "lgpl-3.0 header": _gnu("program", "Lesser General Public License", "3"),
+    "agpl-3.0 header": _gnu("program", "Affero General Public License", "3"),
+    "bsd-3-clause": TEMPLATES["bsd-2-clause"]
+    + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mpl-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "epl-2.0 header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc-by-4.0 notice": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0 notice": "Licensed under CC BY-SA 4.0.",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc0-1.0 notice": "has waived all copyright and related or neighboring rights to",
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or "
+        "as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+}
+
+#: Names that are near relatives.
+FAMILIES = (
+    {"gpl-3.0 notice", "gpl-2.0 notice"},
+    {"gpl-3.0 header", "gpl-2.0 header", "lgpl-2.1 header", "lgpl-3.0 header", "agpl-3.0 header"},
+    {"bsd-2-clause", "bsd-3-clause"},
+)
+
 _PARTS = np.ones(256, bool)
 _PARTS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,6 +158,7 @@ class Scanner:
         found = [Template.of(*x) for x in templates.items()]
         self.templates = [t for t in found if t]
         self.least = least
+        self.shingles = {t.name: frozenset(t.shingles.tolist()) for t in self.templates}
         self.widest = max((t.length for t in self.templates), default=1)
 
     def scan(self, texts: list[bytes | None]) -> list[list[tuple[str, int, int, float]]]:
@@ -155,7 +201,32 @@ class Scanner:
                     a, b = bounds[i], bounds[i + 1]
                     for lo, hi, share in self._verified(t, shingles[a:b]):
                         out[i].append((t.name, int(start[first[i] + lo] - byte[i]), int(end[first[i] + hi + width - 1] - byte[i]), share))
-        return [sorted(x, key=lambda m: (m[1], m[2], m[0])) for x in out]
+        return [sorted(self._best(x), key=lambda m: (m[1], m[2], m[0])) for x in out]
+
+    def _best(self, matches: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+        """The matches that no overlapping one of their family beats."""
+        out = [m for m in matches if not any(m[0] in family for family in FAMILIES)]
+        for family in FAMILIES:
+            by: dict[str, list] = {}
+            for m in matches:
+                if m[0] in family:
+                    by.setdefault(m[0], []).append(m)  # of one template: disjoint, in order
+            ends = {name: [m[2] for m in own] for name, own in by.items()}
+            for name, own in by.items():
+                for m in own:
+                    beaten = False
+                    for other in by.keys() - {name}:
+                        i = bisect_right(ends[other], m[1])
+                        while not beaten and i < len(by[other]) and by[other][i][1] < m[2]:
+                            beaten = self._beats(by[other][i], m)
+                            i += 1
+                    if not beaten:
+                        out.append(m)
+        return out
+
+    def _beats(self, a: tuple, b: tuple) -> bool:
+        x, y = self.shingles[a[0]], self.shingles[b[0]]
+        return (round(a[3] * len(x)), a[3]) > (round(b[3] * len(y)), b[3]) and (a[3] > b[3] or y < x)
 
     def _verified(self, t: Template, shingles: np.ndarray) -> list[tuple[int, int, float]]:
         """First and last shingle of each match, and the best share in it."""
@@ -184,7 +255,7 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """A row per match: id, license, start_byte and end_byte of the text's UTF-8, share of the template's shingles."""
-    chosen = TEMPLATES if templates is None else templates
+    chosen = TEMPLATES | RELATIVES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen, least)

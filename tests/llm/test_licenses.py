@@ -65,6 +65,37 @@ def test_windows_are_least_of_all():
         assert all((m[:, i] == h[:, i : i + n].min(1)).all() for i in range(50))
 
 
+def test_relatives_are_told_apart(spark):
+    every = TEMPLATES | licenses.RELATIVES
+    inner = {"apache-2.0 header": {"apache-2.0 notice"}}  # a notice within a header stays
+    rows = [(i, f"x y. {t} z") for i, t in enumerate(every.values())]
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got == {i: {n} | inner.get(n, set()) for i, n in enumerate(every)}
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_noisy_relatives_have_one_name_of_a_family(edits):
+    rng = random.Random(edits)
+    every = TEMPLATES | licenses.RELATIVES
+    for family in licenses.FAMILIES:
+        for name in sorted(family - {"gpl-2.0 notice", "gpl-3.0 notice"}):
+            head = every[name].split(" ")
+            text = " ".join([*head[:4], *noisy(rng, " ".join(head[4:12]), edits).split(" "), *head[12:]])
+            text = f"{text} filler {every[name]}".encode()
+            assert {m[0] for m in Scanner(every).scan([text])[0]} & family == {name}
+
+
+def test_many_and_adjacent_relatives():
+    every = TEMPLATES | licenses.RELATIVES
+    notice = every["gpl-2.0 notice"]
+    text = (every["gpl-2.0 header"] + " " + every["gpl-3.0 header"]).encode()
+    got = Scanner(every).scan([text, f"{notice} filler ".encode() * 20_000])
+    assert {m[0] for m in got[0]} == {"gpl-2.0 header", "gpl-3.0 header"}
+    assert [m[0] for m in got[1]] == ["gpl-2.0 notice"] * 20_000
+
+
 def test_table(spark):
     rows = [(1, "x. Released under the MIT License.", "clash"), (None, "All rights reserved.", "clash"), (1, "x. Released under the MIT License.", "clash"), (2, None, "clash")]
     df = spark.createDataFrame(rows, "doc_id long, text string, license string")
