@@ -122,8 +122,9 @@ def parse_scalar(cell: Column) -> Column:
     )
 
 
-def typed_cell(cell: Column, kind: T.DataType) -> Column:
-    """A cell read as a value of a known type; null and absent are null, other cells fail loudly."""
+def typed_cell(cell: Column, kind: T.DataType, absent: bool = True) -> Column:
+    """A cell read as a value of a known type; null is null, other cells fail loudly.  absent: whether `~` is null too, or
+    fails like the marks of attachments."""
     text = F.when(cell.startswith('"'), unquote_string(cell)).otherwise(cell)
     wrong = F.raise_error(F.concat(F.lit("invalid_line: not a "), F.lit(kind.simpleString()), F.lit(": "), cell)).cast(kind)
     if isinstance(kind, T.StringType):
@@ -138,7 +139,9 @@ def typed_cell(cell: Column, kind: T.DataType) -> Column:
         value = F.when(cell.rlike(rf"\A{NUMBER}\z"), cell.try_cast(kind))
     else:
         value = text.try_cast(kind)
-    return F.when(cell.isNull() | cell.isin("-", "~"), F.lit(None).cast(kind)).when(value.isNull(), wrong).otherwise(value)
+    if not absent:
+        value = F.when((cell == "~") | (cell == "^") | cell.rlike(r"(?s)\A\^\{.*\}\z"), F.raise_error(F.concat(F.lit("delta_invalid: not a scalar: "), cell)).cast(kind)).otherwise(value)
+    return F.when(cell.isNull() | cell.isin("-", *["~"] * absent), F.lit(None).cast(kind)).when(value.isNull(), wrong).otherwise(value)
 
 
 def split_cells(line: Column, delimiter: str = "|") -> Column:

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packframe.errors import WireError
-from packframe.functions import canonical_cell, format_scalar, savings_text
+from packframe.functions import canonical_cell, format_scalar, savings_text, split_cells, typed_cell
+from packframe.operators.ordering import carry_last
 from packframe.operators.roots import record, table_root
 from packframe.operators.tables import decode_rows
 from packframe.plans.document import MAGIC, header_fields
 from packframe.plans.values import find_outside, key_text, parse_count, split_quoted, unquote
+from packframe.streaming.storage import stored
 
 ORDER = ("added", "changed", "removed")
 
@@ -126,11 +128,13 @@ def _declaration(text: str) -> tuple[list[str], str | None]:
 
 
 def read_sections(lines: DataFrame) -> tuple[dict[str, str], list[Section], DataFrame]:
-    """From lines(pos, line) of a wire: header fields, sections, and the data lines (pos, line, section).
+    """From lines(pos, line) of a wire: header fields, sections, and the data lines (pos, line, section), where section is
+    the place of the section's own header.
 
-    Only the header lines come to the driver; a section's data lines are those between two of them."""
+    Only the header lines come to the driver; the data lines are written to the shared folder, since they are read for
+    their counts and once for each section."""
     own = lines.filter(F.col("line") != "")
-    tops = own.filter(F.col("line").startswith("## ") | F.col("line").startswith(f"{MAGIC} ")).orderBy("pos").limit(16).collect()
+    tops = own.filter(F.col("line").startswith("## ") | F.col("line").startswith(f"{MAGIC} ")).orderBy("pos").collect()  # one a section
     if not tops or not tops[0]["line"].startswith(f"{MAGIC} "):
         raise WireError("missing_header")
     head = header_fields(tops[0]["line"])
@@ -149,16 +153,13 @@ def read_sections(lines: DataFrame) -> tuple[dict[str, str], list[Section], Data
             sections.append(Section(unquote(name) if name[:1] == '"' else name, parse_count(text[at + 1 : close]), fields, key, row["pos"]))
         except WireError as e:
             raise WireError("delta_invalid", str(e)) from e
-    data = ~F.col("line").startswith("## ") & ~F.col("line").startswith("##! ") & ~F.col("line").startswith("# ") & (F.col("pos") > tops[0]["pos"]) & (F.col("line") != "")
-    body = own.select("pos", F.when(data, F.col("line")).alias("line")).filter("line is not null")
-    number = F.lit(-1)
-    for i, s in enumerate(sections):
-        number = F.when(F.col("pos") > s.first, i).otherwise(number)
-    body = body.withColumn("section", number)
+    data = ~F.col("line").startswith("## ") & ~F.col("line").startswith("##! ") & ~F.col("line").startswith("# ") & (F.col("pos") > tops[0]["pos"])
+    under = carry_last(own.select("pos", "line"), {"section": F.when(F.col("line").startswith("## "), F.col("pos"))})
+    body = stored(under.filter(data).select("pos", "line", F.coalesce("section", F.lit(-1)).alias("section")), "body")
     found = {r["section"]: r["count"] for r in body.groupBy("section").count().collect()}  # a row a section
-    for i, s in enumerate(sections):
-        if found.get(i, 0) != s.count:
-            raise WireError("count_mismatch", f"{s.count} declared in {s.name}, {found.get(i, 0)} found")
+    for s in sections:
+        if found.get(s.first, 0) != s.count:
+            raise WireError("count_mismatch", f"{s.count} declared in {s.name}, {found.get(s.first, 0)} found")
     if found.get(-1):
         raise WireError("count_mismatch", "rows outside a section")
     return head, sections, body
@@ -169,34 +170,42 @@ def decode_full(lines: DataFrame, schema: T.StructType, verify: bool = True) ->
     head, sections, body = read_sections(lines)
     if len(sections) != 1 or sections[0].fields != schema.names:
         raise WireError("delta_invalid", "the section's columns aren't those of the schema")
-    got = decode_rows(body.select("line"), schema)
+    got = decode_rows(body.select("line"), schema, absent=False)
     if verify and head.get("pack_root") and (root := table_root(got)) != head["pack_root"]:
         raise WireError("root_mismatch", f"computed {root}")
     return got
 
 
 def decode_delta(lines: DataFrame, schema: T.StructType) -> tuple[dict[str, str], DataFrame]:
-    """Header fields and the delta (_op, _id, columns) of a wire's lines(pos, line)."""
+    """Header fields and the delta (_op, _id, columns) of a wire's lines(pos, line), read in one pass and stored."""
     head, sections, body = read_sections(lines)
     if head.get("delta") != "true":
         raise WireError("delta_invalid", "not a delta")
     key = head.get("key") or next((s.key for s in sections if s.key), None)
     if key not in schema.names:
         raise WireError("delta_invalid", f"no key column {key}")
-    parts = []
-    for i, s in enumerate(sections):
+    places: dict[str, list[int]] = {op: [] for op in ORDER}
+    for s in sections:
         if s.name not in ORDER:
             raise WireError("delta_invalid", f"unknown section {s.name}")
-        kind = T.StructType([schema[f] for f in ([key] if s.name == "removed" else schema.names)])
-        if s.fields != kind.names:
+        if s.fields != ([key] if s.name == "removed" else schema.names):
             raise WireError("delta_invalid", f"columns of {s.name}")
-        rows = decode_rows(body.filter(F.col("section") == i).select(F.when(F.col("section") == i, F.col("line")).alias("line")), kind)
-        parts.append(rows.select(F.lit(s.name).alias("_op"), *(F.col(f"`{f.name}`") if f.name in kind.names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields)))
-    empty = lines.sparkSession.createDataFrame([], T.StructType([T.StructField("_op", T.StringType()), *schema.fields]))
-    got = empty
-    for p in parts:
-        got = got.unionByName(p)
-    return head, got.select("_op", identity(got, key).alias("_id"), *(f"`{c}`" for c in schema.names))
+        places[s.name].append(s.first)
+    if nested := [f.name for f in schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]:
+        raise WireError("delta_invalid", f"nested column {nested[0]}")
+    op = F.when(F.col("section").isin(places["added"]), "added").when(F.col("section").isin(places["changed"]), "changed").otherwise("removed")
+    rows = body.select(op.alias("_op"), split_cells(F.col("line")).alias("_cells"))
+    width = F.when(F.col("_op") == "removed", 1).otherwise(len(schema.names))
+    wrong = F.raise_error(F.concat(F.lit("row_width_mismatch: "), F.size("_cells").cast("string"), F.lit(" cells"))).cast("array<string>")
+    rows = rows.select("_op", F.when(F.size("_cells") == width, F.col("_cells")).otherwise(wrong).alias("_cells"))
+
+    def value(i: int, f: T.StructField) -> Column:
+        gone = F.col("_op") == "removed"
+        cell = F.when(gone, F.col("_cells")[0] if f.name == key else F.lit(None)).otherwise(F.get("_cells", F.lit(i)))
+        return typed_cell(cell, f.dataType, absent=False).alias(f.name)
+
+    got = rows.select("_op", *(value(i, f) for i, f in enumerate(schema.fields)))
+    return head, stored(got.select("_op", identity(got, key).alias("_id"), *(f"`{c}`" for c in schema.names)), "delta")
 
 
 def delta_errors(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:

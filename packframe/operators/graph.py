@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from packframe.errors import WireError
 from packframe.functions import abbreviate_kind, expand_kind, score_text
-from packframe.operators.ordering import with_row_index
+from packframe.operators.ordering import carry_last, with_row_index
 from packframe.operators.roots import graph_root
 from packframe.plans.document import MAGIC
+from packframe.streaming.storage import stored
 
 #: Fixed values of the wire format: sections of the first distances.
 SECTIONS = ("targets", "related", "extended")
@@ -65,7 +66,6 @@ def _head(tool: str, budget: int, tokens: int, n_symbols: int, n_edges: int, roo
 
 
 
-
 def _fixed(df: DataFrame, lines: list[tuple[int, int, str]]) -> DataFrame:
     made = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(a).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit("").alias("c"), F.lit(t).alias("line")) for p, a, t in lines))
     return df.sparkSession.range(1).select(F.inline(made))
@@ -91,34 +91,33 @@ def graph_text(lines: DataFrame) -> str:
 def decode_graph(lines: DataFrame) -> tuple[dict[str, object], DataFrame, DataFrame]:
     """Header, symbols (with id and _pos) and edges of lines(pos, line), line-parallel.
 
-    Section headers and the header come to the driver (a few lines); symbol and edge lines are parsed where they are.
+    One row comes to the driver; sections are carried forward to their lines, however many there are; symbol and edge
+    lines are parsed where they are.
     Malformed lines fail with their code when the result is used."""
-    clean = lines.select("pos", F.regexp_replace("line", "\r$", "").alias("line")).filter("line <> ''")
-    tops = clean.filter(F.col("line").startswith("## ") | (F.col("pos") == lines.agg(F.min("pos")).first()[0])).orderBy("pos").collect()  # one a section
-    if not tops or not tops[0]["line"].startswith(MAGIC + " "):
+    clean = stored(lines.select("pos", F.regexp_replace("line", "\r$", "").alias("line")).filter("line <> ''"), "lines")
+    header, name = F.col("line").startswith("## "), F.substring_index(F.substr("line", F.lit(4)), " [", 1)
+    counted = F.regexp_extract("line", r"\A## edges \[([^\]]*)", 1)
+    top = clean.agg(F.min_by("line", "pos").alias("line"), F.min("pos").alias("pos"), F.max_by(counted, F.when(header & (name == "edges") & ~counted.isin("", "?"), F.col("pos"))).alias("edges")).first()
+    if top["pos"] is None or not top["line"].startswith(MAGIC + " "):
         raise WireError("missing_header")
-    pairs = dict(p.partition("=")[::2] for p in tops[0]["line"].split(" ")[1:] if "=" in p)
+    pairs = dict(p.partition("=")[::2] for p in top["line"].split(" ")[1:] if "=" in p)
     number = lambda t: int(t) if t.lstrip("+-").isdigit() else 0
     head = {"tool": pairs.get("tool", ""), "tokenBudget": number(pairs.get("budget", "")), "tokensUsed": number(pairs.get("tokens", "")), "packRoot": pairs.get("pack_root", "")}
-    distance, is_edge, declared, at = F.lit(0), F.lit(False), None, 0
-    for row in tops[1:]:
-        name, _, count = row["line"][3:].partition(" [")
-        is_edge = F.when(F.col("pos") > row["pos"], name == "edges").otherwise(is_edge)
-        if name == "edges":
-            count = count.partition("]")[0]
-            if count not in ("", "?"):
-                if not count.lstrip("-").isdigit():
-                    raise WireError("count_mismatch", count)
-                declared = int(count)
-            continue
-        at = SECTIONS.index(name) if name in SECTIONS else int(name[9:]) if name.startswith("distance_") and name[9:].isdigit() else at
-        distance = F.when(F.col("pos") > row["pos"], at).otherwise(distance)
-    body = clean.filter((F.col("pos") > tops[0]["pos"]) & ~F.col("line").startswith("## ") & ~F.col("line").startswith("##! ") & ~F.col("line").startswith("# "))
+    declared = None
+    if top["edges"] is not None:
+        if not top["edges"].lstrip("-").isdigit():
+            raise WireError("count_mismatch", top["edges"])
+        declared = int(top["edges"])
+    at = F.regexp_extract(name, r"\Adistance_([0-9]+)\z", 1).try_cast("int")
+    for i, section in enumerate(SECTIONS):
+        at = F.when(name == section, i).otherwise(at)
+    under = carry_last(clean, {"e": F.when(header, name == "edges"), "distance": F.when(header, at)})
+    data = (F.col("pos") > top["pos"]) & ~header & ~F.col("line").startswith("##! ") & ~F.col("line").startswith("# ")
+    bodies = stored(under.filter(data).select("pos", "line", F.coalesce("e", F.lit(False)).alias("e"), F.coalesce("distance", F.lit(0)).alias("distance")), "lines")
     parts = F.filter(F.split("line", " "), lambda x: x != "")
     fail = lambda code, kind: F.raise_error(F.concat(F.lit(code + ": "), F.col("line"))).cast(kind)
-    bodies = body.select("pos", "line", is_edge.alias("e"), distance.alias("distance"))
     # lines of the other kind are nulled as well: the optimizer may compute a column before a filter
-    s, e = (bodies.select("pos", F.when((F.col("e") == w) & (F.col("pos") > tops[0]["pos"]) & ~F.col("line").startswith("#") & (F.col("line") != ""), F.col("line")).alias("line"), "distance").filter("line is not null").withColumn("p", parts) for w in (False, True))
+    s, e = (bodies.select("pos", F.when(F.col("e") == w, F.col("line")).alias("line"), "distance").filter("line is not null").withColumn("p", parts) for w in (False, True))
     wide = F.size("p") >= 5
     ident, value = F.regexp_extract("line", r"\A@(-?[0-9]+) ", 1).try_cast("long"), F.try_element_at("p", F.lit(4)).try_cast("double")
     symbols = s.select(
@@ -138,8 +137,9 @@ def decode_graph(lines: DataFrame) -> tuple[dict[str, object], DataFrame, DataFr
     refs = e.select("pos", "line", t.alias("t"), f.alias("f"), F.try_element_at("p", F.lit(2)).alias("edgeType"), F.coalesce(F.try_element_at("p", F.lit(3)), F.lit("")).alias("status"))
     last = symbols.groupBy("id").agg(F.max_by("qualifiedName", "_pos").alias("n"))
     joined = refs.join(last.select(F.col("id").alias("f"), F.col("n").alias("source")), "f", "left").join(last.select(F.col("id").alias("t"), F.col("n").alias("target")), "t", "left")
-    known = lambda c: F.when(F.col("line").isNotNull() & F.col(c).isNull(), fail("unknown_edge_reference", "string")).otherwise(F.col(c)).alias(c)
-    return head, symbols, joined.select(F.col("pos").alias("_pos"), known("source"), known("target"), "edgeType", "status")
+    # the message names the reference, so that a malformed one fails first
+    known = lambda c, ref: F.when(F.col("line").isNotNull() & F.col(c).isNull(), F.raise_error(F.concat(F.lit("unknown_edge_reference: @"), F.coalesce(F.col(ref).cast("string"), F.lit("")), F.lit(" in "), F.col("line"))).cast("string")).otherwise(F.col(c)).alias(c)
+    return head, symbols, joined.select(F.col("pos").alias("_pos"), known("source", "f"), known("target", "t"), "edgeType", "status")
 
 
 _SYMBOL, _EDGE = ("kind", "qualifiedName"), ("source", "target", "edgeType")
@@ -182,21 +182,20 @@ def delta_lines(symbols: DataFrame, edges: DataFrame, tool: str = "", base_root:
 
 def decode_delta(lines: DataFrame) -> tuple[dict[str, str], DataFrame, DataFrame]:
     """Header, symbols(_op, ...) and edges(_op, ...) of a graph delta's lines(pos, line)."""
-    clean = lines.select("pos", F.regexp_replace("line", "\r$", "").alias("line")).filter("line <> ''")
-    tops = clean.filter(F.col("line").startswith("## ") | F.col("line").startswith(MAGIC + " ")).orderBy("pos").limit(16).collect()
-    if not tops:
+    clean = stored(lines.select("pos", F.regexp_replace("line", "\r$", "").alias("line")).filter("line <> ''"), "lines")
+    header, name = F.col("line").startswith("## "), F.trim(F.substr("line", F.lit(4)))
+    magic = F.col("line").startswith(MAGIC + " ")
+    known = name.isin("removed", "added", "edges_removed", "edges_added")
+    top = clean.agg(F.min_by("line", F.when(magic | header, F.col("pos"))).alias("line"), F.min(F.when(magic | header, F.col("pos"))).alias("pos"), F.max(F.when(header & ~known, name)).alias("unknown")).first()
+    if top["line"] is None:
         raise WireError("missing_header")
-    if not tops[0]["line"].startswith(f"{MAGIC} profile=graph"):
+    if not top["line"].startswith(f"{MAGIC} profile=graph"):
         raise WireError("missing_profile")
-    head = dict(p.partition("=")[::2] for p in tops[0]["line"].split() if "=" in p)
-    section = F.lit("")
-    for row in tops[1:]:
-        name = row["line"][3:].strip()
-        if name not in ("removed", "added", "edges_removed", "edges_added"):
-            raise WireError("malformed_delta", f"unknown section {name}")
-        section = F.when(F.col("pos") > row["pos"], name).otherwise(section)
-    data = (F.col("pos") > tops[0]["pos"]) & ~F.col("line").startswith("## ") & (F.col("line") != "")
-    body = clean.select("pos", F.when(data, F.col("line")).alias("line")).filter("line is not null").select("line", section.alias("s"), F.filter(F.split("line", "[ \t]+"), lambda x: x != "").alias("p"))
+    if top["unknown"] is not None:
+        raise WireError("malformed_delta", f"unknown section {top['unknown']}")
+    head = dict(p.partition("=")[::2] for p in top["line"].split() if "=" in p)
+    under = carry_last(clean, {"s": F.when(header, name)}).filter(~header & (F.col("pos") > top["pos"]))
+    body = stored(under.select("line", F.coalesce("s", F.lit("")).alias("s"), F.filter(F.split("line", "[ \t]+"), lambda x: x != "").alias("p")), "lines")
     p = lambda i: F.try_element_at("p", F.lit(i))
     bad = F.raise_error(F.concat(F.lit("malformed_delta: "), F.col("line"))).cast("string")
     score, distance = p(4).try_cast("double"), p(6).try_cast("int")

@@ -203,11 +203,12 @@ def text_of(lines: DataFrame) -> str:
     return "".join(r["line"] + "\n" for r in lines.orderBy("row", "sub").toLocalIterator())
 
 
-def decode_rows(lines: DataFrame, schema: T.StructType, line_col: str = "line") -> DataFrame:
+def decode_rows(lines: DataFrame, schema: T.StructType, line_col: str = "line", absent: bool = True) -> DataFrame:
     """The rows of flat table lines, by a schema whose structs are path columns.  Other columns of `lines` stay.
 
     A row of another width fails as row_width_mismatch; a null line is a row of nulls (the optimizer may compute a
-    column before a filter: whoever leaves out lines that aren't rows has to null them too)."""
+    column before a filter: whoever leaves out lines that aren't rows has to null them too).  Without `absent`, as in
+    sets of deltas, a field may not be left out (`~`)."""
     columns: list[tuple[tuple[str, ...], T.DataType]] = []
     for f in schema.fields:
         leaves = _leaves(f.dataType, (f.name,)) if isinstance(f.dataType, T.StructType) else [((f.name,), f.dataType)]
@@ -225,7 +226,7 @@ def decode_rows(lines: DataFrame, schema: T.StructType, line_col: str = "line")
             below = [i for p, i in place.items() if p[: len(path)] == path]
             empty = reduce(lambda a, b: a & b, (F.col("_cells")[i].isin("-", "~") for i in below))
             return F.when(~empty, F.struct(*(value((*path, f.name), f.dataType).alias(f.name) for f in kind.fields)))
-        return typed_cell(F.col("_cells")[place[path]], kind)
+        return typed_cell(F.col("_cells")[place[path]], kind, absent)
 
     return checked.select(*kept, *(value((f.name,), f.dataType).alias(f.name) for f in schema.fields))
 

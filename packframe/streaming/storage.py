@@ -5,13 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; only where that isn't set, below a local folder.  It goes with the JVM."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="packframe-")
+    """A new path below spark.checkpoint.dir; it goes with the JVM.
+
+    Where that isn't set, one local folder is made and set, but only with a local master: on a cluster every executor
+    would write to its own disk."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = found.get() if found.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="packframe-")
+        spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of `df`, written to the shared folder and read again: lineage ends here, and what follows sees one
+    evaluation."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

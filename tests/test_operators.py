@@ -9,7 +9,7 @@ from packframe.errors import WireError
 from packframe.operators import delta as D
 from packframe.operators import graph as G
 from packframe.operators import roots, session, tables
-from packframe.operators.ordering import with_row_index
+from packframe.operators.ordering import carry_last, with_row_index
 from packframe.plans import document
 from packframe.plans.graph_text import Graph, decode_graph, encode_graph
 
@@ -223,3 +223,43 @@ def test_sessions(spark):
     assert text["s", 1] == ["GCF profile=graph tool=t symbols=1 session=true", "## targets", "@0 fn a.Foo 0.90 x"]
     assert text["s", 2] == ["GCF profile=graph tool=t symbols=2 edges=2 session=true", "## targets", "@1 fn a.Bar 0.10 x", "## related", "@0  # previously transmitted", "## edges [2]", "@1<@0 calls"]
     assert [r["qualifiedName"] for r in session.resolve_references(session.session_lines(calls), session.session_ids(calls)).collect()] == ["a.Foo"]
+
+
+@pytest.mark.parametrize("adaptive, wide", [(True, True), (True, False), (False, True)])
+def test_row_index_of_many_rows(spark, adaptive, wide):
+    """More rows than a range partitioning samples, in more than one partition."""
+    n = 1_500_000
+    df = spark.range(0, n, numPartitions=9).select((F.col("id") * 7919 % 1_500_007).alias("k"), *([F.sha2(F.col("id").cast("string"), 256).alias("w"), F.lit("x" * 40).alias("v")] if wide else []))
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = with_row_index(df, F.desc("k"), index="i")
+        low, high, count, distinct = got.agg(F.min("i"), F.max("i"), F.count("i"), F.count_distinct("i")).first()
+        assert (low, high, count, distinct) == (0, n - 1, n, n)
+        follows = got.select((F.col("i") + 1).alias("i"), F.col("k").alias("above")).join(got.select("i", "k"), "i")
+        assert follows.filter("above <= k").count() == 0
+        assert with_row_index(df.limit(0), "k").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+
+
+def test_carry_last(spark):
+    df = spark.range(0, 1000, numPartitions=5).select((F.col("id") * 37 % 1000).alias("pos"), F.lit(1).alias("section"))
+    got = carry_last(df, {"a": F.when(F.col("pos") % 90 == 5, F.col("pos")), "b": F.when(F.col("pos") == 400, F.lit("x"))}, bucket=16)
+    for r in got.collect():
+        assert r["a"] == ((r["pos"] - 5) // 90 * 90 + 5 if r["pos"] >= 5 else None) and r["b"] == ("x" if r["pos"] >= 400 else None) and r["section"] == 1
+
+
+def test_graph_sections_that_alternate(spark):
+    text = "GCF profile=graph tool=t\n" + "".join(f"## {'targets' if i % 2 else 'distance_7'}\n@{i} fn s{i} 0.50 lsp\n" for i in range(300)) + "## edges [?]\n@0<@1 calls\n"
+    _, symbols, edges = G.decode_graph(lines_of(spark, text))
+    assert {r["id"]: r["distance"] for r in symbols.collect()} == {i: 0 if i % 2 else 7 for i in range(300)} and edges.count() == 1
+
+
+def test_delta_rows_are_scalars(spark):
+    head = "GCF profile=generic delta=true key=id\n## added [1]{@id,n}\n"
+    schema = spark.createDataFrame([], "id long, n string").schema
+    for cell in ("~", "^", "^{a,b}"):
+        with pytest.raises(Exception, match="delta_invalid"):
+            D.decode_delta(lines_of(spark, f"{head}1|{cell}\n"), schema)[1].collect()
+    again = D.decode_delta(lines_of(spark, "GCF profile=generic delta=true key=id\n## added [1]{@id,n}\n1|a\n## removed [1]{@id}\n4\n## added [1]{@id,n}\n2|b\n"), schema)[1]
+    assert sorted((r["_op"], r["id"], r["n"]) for r in again.collect()) == [("added", 1, "a"), ("added", 2, "b"), ("removed", 4, None)]
