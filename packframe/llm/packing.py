@@ -127,6 +127,10 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacit
     return map_batches(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), run, schema)
 
 
+#: Lengths that turned out to have no pair left after which the index of pairs is made anew.
+STALE = 64
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and their copies that use up counts[length] pieces of each length (1 to capacity)."""
     left = np.zeros(capacity + 1, np.int64)
@@ -160,22 +164,22 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
             pass
     pairs = _sums(left)
     for n in range(capacity - 3, 0, -1):  # sums of three
-        gap, stale = capacity - n, 0
-        a = np.arange(gap - 2, 0, -1)
-        while left[n]:
-            found = False
-            for x in a[(left[a] > 0) & pairs[gap - a]]:
-                if pair(gap - int(x), (n, int(x))):
-                    found = True
-                    break
-                stale += 1
-                if stale % 64 == 0:
-                    pairs = _sums(left)
+        top = capacity - n - 2
+        while left[n] and top > 0:  # counts only fall, so a length without a pair is not tried again beside n
+            a = np.arange(top, 0, -1)
+            a = a[(left[a] > 0) & pairs[capacity - n - a]]
+            missed = 0
+            for x in a.tolist():
+                top = x - 1
+                while left[n] and pair(capacity - n - x, (n, x)):
+                    pass
+                missed += bool(left[n])
+                if missed == STALE or not left[n]:
                     break
             else:
                 break
-            if not found and not ((left[a] > 0) & pairs[gap - a]).any():
-                break
+            if missed == STALE:
+                pairs = _sums(left)
     return out + _best_fit(left, capacity)
 
 
