@@ -27,7 +27,10 @@ def release_others(owner: str) -> None:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches of about BATCH_BYTES, so that long texts don't add up in a worker."""
+    """mapInArrow with batches of about BATCH_BYTES, so that long texts don't add up in a worker.
+
+    Spark has this limit as a setting of the session that is read when a plan runs, so it is lowered in the caller's
+    session (and never raised)."""
     conf, owner = df.sparkSession.conf, function.__module__
     if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))) > BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -63,8 +66,8 @@ def add_columns(df: DataFrame, keep: list[str], text_col: str, fields: list[Stru
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in local tests, a local folder is made and set.  The path is
-    deleted when the driver's JVM ends.
+    Only where that setting is missing and the master is local, as in tests, a local folder is made and set; on a
+    cluster each executor would write to its own disk.  The path is deleted when the driver's JVM ends.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -72,6 +75,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
         found = sc._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="packframe-")
         sc.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

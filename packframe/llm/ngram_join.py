@@ -3,13 +3,15 @@
 Sets of word shingles (sorted 64-bit hashes) link when 100 * intersection >= 75 * union.  The result is exact, and
 nothing in it grows with the square of a group of near copies:
 
-1. Equal sets are one set, under a 64-bit digest of the whole set.
+1. Equal sets are one set.  They are compared by 128-bit digests of all their shingles, and numbered by the first half;
+   where different sets have the same first half, all but one are numbered by the other half.
 2. Shingles have one global order: by the binary logarithm of a count of how often they occur (0 for all but the
    frequent ones, which the tasks find and add up), then by hash.  Linked sets share at least one of their first
    n - ceil(0.75 n) + 1 shingles in that order; only these are shuffled, and those of a single set go.
 3. A shingle that few sets share makes pairs of sets; a pair stays if its number of such shared shingles leaves it a
    chance.  A shingle that more sets share is given to its hub, the one of its sets whose shingles are shared most,
-   and all its sets join the shard of that hub.  A large shard is dealt to blocks.
+   and all its sets join the shard of that hub.  A large shard is dealt to blocks.  Rows of a shingle known to be in
+   HOT sets or more are dealt to parts of about half as many, so that no task gets all of them.
 4. In a block the sets stand in a prefix tree, ordered by hash.  Probing it with a set adds up overlaps along the
    paths, once for all sets that share one, and drops subtrees when what remains on both sides can't make up the
    overlap that is needed.  A pair's first set is probed against those paired with it.  A hub is probed against each
@@ -21,19 +23,22 @@ The broadcast table of frequent shingles has MOST_FREQUENT rows at most.  Which
 not the result.
 
 Defined results: null and empty texts have no shingles and link with nothing; rows with a null doc_id get no
-component (null) and link with nothing; repeated ids are rows of their own, which share the id; other columns are
-ignored; an empty table stays empty.
+component (null) and link with nothing; repeated ids are rows of their own, which share the id; very long texts are
+sets like any other, worked on alone in their batch; other columns are ignored, whatever their names; an empty table
+stays empty.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from packframe.llm.common import map_batches, rows_of, stored, table
 from packframe.llm.components import components
@@ -45,7 +50,9 @@ WORDS = 5
 MOST_FREQUENT, FREQUENT, SEEN, SEEN_IN = 500_000, 8, 2, 4_000_000
 #: Sets sharing a shingle up to which pairs are made; sets of a block.
 FEW, BLOCK = 32, 4096
-#: Sets up to which a table of two ids each is broadcast to find their texts; beyond, texts are shuffled.
+#: Binary logarithm of the count from which on a shingle's rows are dealt to parts.
+HOT = 10
+#: Rows up to which a table of two numbers each is broadcast; beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 
 
@@ -59,8 +66,22 @@ def linked(common, n, m):
     return 7 * common >= 3 * (n + m)
 
 
-def digest(own: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+def halves(own: np.ndarray, id_bytes: int = 8) -> tuple[int, int]:
+    """A 128-bit digest of a set, in two numbers; the first one has id_bytes bytes only."""
+    raw = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:id_bytes], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+@dataclass(frozen=True)
+class Numbers:
+    """How sets are numbered: twins are the digests whose first half another set has too."""
+
+    id_bytes: int = 8
+    twins: frozenset[tuple[int, int]] = frozenset()
+
+    def of(self, own: np.ndarray) -> int:
+        both = halves(own, self.id_bytes)
+        return both[1] if both in self.twins else both[0]
 
 
 class PrefixTree:
@@ -145,36 +166,51 @@ class PrefixTree:
         return self.order[np.concatenate(found)]
 
 
-def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, content: bool = False) -> DataFrame:
-    """id, n (size of the set), set (its digest), and, with content, shingles (the sorted hashes, 8 bytes each)."""
+def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: list[str] | None = None, id_bytes: int = 8) -> DataFrame:
+    """The columns `keep`, doc_id, n (size of the set), set and twin (both halves of its digest) of every row."""
+    fields = [StructField(x, LongType()) for x in ("doc_id", "n", "set", "twin")]
+    rows = docs.select(*(F.col(c) for c in keep or []), F.col(id_col).cast("long").alias("packframe_id"), F.col(text_col).alias("packframe_text"))
+    k = len(keep or [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rows_of(batch):
+                own = shingle_sets(part.column(k + 1).cast(pa.binary()).to_pylist(), words)
+                numbers = list(zip(*(halves(x, id_bytes) for x in own), strict=True)) or [(), ()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: k + 1], pa.array([len(x) for x in own], pa.int64()), *(pa.array(c, pa.int64()) for c in numbers)], [*(keep or []), *(f.name for f in fields)])
+
+    return map_batches(rows, run, StructType([*rows.schema.fields[:k], *fields]))
+
+
+def contents(docs: DataFrame, numbers: Numbers, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, set, shingles (the sorted hashes, 8 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in rows_of(batch):
                 own = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), words)
-                columns = [part.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([digest(s) for s in own], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array([s.tobytes() for s in own], pa.binary())] if content else []), ["doc_id", "n", "set"] + ["shingles"] * content)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([numbers.of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "set", "shingles"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, n long, set long" + ", shingles binary" * content)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, set long, shingles binary")
 
 
-def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
+def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int, numbers: Numbers) -> Iterator[tuple[int, np.ndarray]]:
     """The sets of a task's texts, each once."""
     seen: set[int] = set()
     for batch in batches:
         for part in rows_of(batch):
             for s in shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), words):
-                if len(s) and (d := digest(s)) not in seen:
+                if len(s) and (d := numbers.of(s)) not in seen:
                     seen.add(d)
                     yield d, s
 
 
-def frequent(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def frequent(texts: DataFrame, words: int = WORDS, numbers: Numbers = Numbers()) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and the binary logarithm of their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = np.empty(SEEN_IN, np.uint64), 0
-        for _, s in _distinct_sets(batches, words):
+        for _, s in _distinct_sets(batches, words, numbers):
             for at in range(0, len(s), SEEN_IN):
                 part = s[at : at + SEEN_IN]
                 if size + len(part) > SEEN_IN:
@@ -201,21 +237,24 @@ def frequent(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     return value[order], np.log2(np.maximum(1, got["n"].to_numpy(np.int64)[order])).astype(np.uint8)
 
 
-def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int = WORDS) -> DataFrame:
-    """shingle, set, n: the first shingles of each set in the global order."""
+def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, numbers: Numbers = Numbers(), hot: int = HOT) -> DataFrame:
+    """shingle, part, set, n: the first shingles of each set in the global order.  part: 0, or from 1 on for shingles
+    whose count has a binary logarithm of `hot` or more."""
     value, rank = often
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         size = 0
-        for d, s in _distinct_sets(batches, words):
+        for d, s in _distinct_sets(batches, words, numbers):
             n, first = len(s), prefix_length(len(s))
+            ranks = np.zeros(n, np.uint8)
             if len(value):
                 at = np.minimum(np.searchsorted(value, s), len(value) - 1)
                 ranks = np.where(value[at] == s, rank[at], 0)
                 if ranks.any():
-                    s = s[np.argsort(ranks, kind="stable")]
-            held.append((d, n, s[:first]))
+                    order = np.argsort(ranks, kind="stable")[:first]
+                    s, ranks = s[order], ranks[order]
+            held.append((d, n, s[:first], ranks[:first]))
             size += first
             if size >= 200_000:
                 yield flat(held)
@@ -223,39 +262,59 @@ def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int
         if held:
             yield flat(held)
 
-    def flat(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        counts = [len(s) for _, _, s in held]
-        columns = [np.concatenate([s for _, _, s in held]).view(np.int64), np.repeat([d for d, _, _ in held], counts), np.repeat([n for _, n, _ in held], counts).astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "set", "n"])
+    def flat(held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        counts = [len(s) for _, _, s, _ in held]
+        own = np.repeat(np.array([d for d, _, _, _ in held], np.int64), counts)
+        ranks = np.concatenate([r for _, _, _, r in held]).astype(np.int64)
+        part = np.where(ranks >= hot, 1 + (own & ((1 << np.maximum(0, ranks - hot + 1)) - 1)), 0)
+        columns = [np.concatenate([s for _, _, s, _ in held]).view(np.int64), part.astype(np.int32), own, np.repeat(np.array([n for _, n, _, _ in held], np.int32), counts)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "part", "set", "n"])
 
-    return map_batches(texts, run, "shingle long, set long, n int")
+    return map_batches(texts, run, "shingle long, part int, set long, n int")
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """shingle, set, n, size: of the prefixes, what `size` > 1 sets share; each once."""
-    own = Window.partitionBy("shingle")
-    several = rows.withColumns({"lo": F.min("set").over(own), "hi": F.max("set").over(own)}).filter("lo <> hi").select("shingle", "set", "n").distinct()
-    return several.withColumn("size", F.count(F.lit(1)).over(own))
+    """shingle, part, set, n, size: of the prefixes, what `size` > 1 sets share; each once.  Stored.
+
+    Groups of part 0 are of shingles that no task saw often: one in a million at most, whatever the corpus.  The others
+    are counted by part, and their sums, MOST_FREQUENT at most, are broadcast."""
+    own = Window.partitionBy("shingle", "part")
+    several = rows.withColumns({"lo": F.min("set").over(own), "hi": F.max("set").over(own)}).filter("lo <> hi or part > 0").select("shingle", "part", "set", "n").distinct()
+    counted = stored(several.withColumn("size", F.count(F.lit(1)).over(own)), "shared")
+    sums = counted.filter("part > 0").groupBy("shingle").agg(F.count(F.lit(1)).alias("sum"))
+    return counted.join(F.broadcast(sums), "shingle", "left").select("shingle", "part", "set", "n", F.coalesce("sum", "size").alias("size")).filter("size > 1")
 
 
-def candidates(common: DataFrame, few: int = FEW) -> DataFrame:
-    """a, b: pairs of sets that share small groups of prefix shingles, enough to have a chance."""
+def candidates(common: DataFrame, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """a, b, block: pairs of sets that share small groups of prefix shingles, enough to have a chance; b meets its partners
+    in blocks -1, -2, ... of about `block` of them."""
     small = common.filter(F.col("size") <= few)
     a, b = (small.select("shingle", F.col("set").alias(s), F.col("n").alias(f"n_{s}")) for s in ("a", "b"))
     near = (F.col("a") < F.col("b")) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
     pairs = a.join(b, "shingle").filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     behind = lambda n: F.ceil(0.75 * F.col(n)) - 1  # noqa: E731  what follows the prefix
-    return pairs.filter(7 * (F.col("c") + F.greatest(behind("n_a"), behind("n_b"))) >= 3 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    kept = pairs.filter(7 * (F.col("c") + F.greatest(behind("n_a"), behind("n_b"))) >= 3 * (F.col("n_a") + F.col("n_b")))
+    most = (F.col("n_b") - behind("n_b")) * (few - 1)  # partners that b can have
+    return kept.select("a", "b", (-1 - F.pmod(F.xxhash64("a"), F.ceil(most / block))).cast("int").alias("block"))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A table of a few numbers, broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def shards(common: DataFrame, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """hub, set, block, blocks: who meets where, for shingles that more sets share."""
-    large = common.filter(F.col("size") > few).select("shingle", "set", "size")
+    large = common.filter(F.col("size") > few).select("shingle", "part", "set", "size")
     fame = large.groupBy("set").agg(F.sum("size").alias("fame"))
-    hubs = large.join(fame, "set").groupBy("shingle").agg(F.max_by("set", F.struct("fame", "set")).alias("hub"))
-    members = large.join(hubs, "shingle").select("hub", "set").distinct()
-    sizes = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    return members.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    hubs = large.join(fame, "set").groupBy("shingle").agg(F.max_by("set", F.struct("fame", "set")).alias("hub"), F.max("part").alias("parts"))
+    # hubs of shingles dealt to parts are MOST_FREQUENT at most
+    dealt = large.filter("part > 0").join(F.broadcast(hubs.filter("parts > 0").select("shingle", "hub")), "shingle")
+    others = large.filter("part = 0").join(hubs.filter("parts = 0").select("shingle", "hub"), "shingle")
+    members = stored(dealt.select("hub", "set").union(others.select("hub", "set")).distinct(), "members")
+    sizes = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).filter("blocks > 1")
+    placed = members.join(_sized(sizes), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return placed.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
 
 
 _FOUND = "a long, b long, hub long, block int, apart boolean"
@@ -324,27 +383,25 @@ def _probe(rows: DataFrame) -> DataFrame:
     return map_batches(dealt, run, _FOUND)
 
 
-def links(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """a, b: a spanning forest, at least, of the links between different sets.  rows: shingled(docs)."""
+def links(docs: DataFrame, sets: DataFrame, numbers: Numbers, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """a, b: a spanning forest, at least, of the links between different sets.  sets: set, least (a doc_id of it)."""
     texts = docs.filter(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(text_col)
-    common = stored(shared(prefixes(texts, frequent(texts, words), words)), "shared")
-    pairs = candidates(common)
+    common = shared(prefixes(texts, frequent(texts, words, numbers), words, numbers))
+    pairs = stored(candidates(common), "pairs")
     members = stored(shards(common), "shards")
-    # who meets whom: pairs in a block of their own (-1), hubs in each of their blocks
+    # who meets whom: pairs in blocks of their own (below 0), hubs in each of their blocks
     hubs = members.select("hub", "block").distinct()
     meet = stored(
-        pairs.select(F.col("b").alias("hub"), F.lit(-1).alias("block"), F.lit(1).alias("kind"), F.col("a").alias("set"), F.lit(1).alias("blocks"))
-        .union(pairs.select(F.col("b").alias("hub"), F.lit(-1).alias("block"), F.lit(0).alias("kind"), F.col("b").alias("set"), F.lit(1).alias("blocks")).distinct())
-        .union(members.filter("set <> hub").select("hub", "block", F.lit(2).alias("kind"), "set", "blocks"))
-        .union(hubs.select("hub", "block", F.lit(0).alias("kind"), F.col("hub").alias("set"), F.lit(1).alias("blocks"))),
+        pairs.select(F.col("b").alias("hub"), "block", F.lit(1).alias("kind"), F.col("a").alias("set"))
+        .union(pairs.select(F.col("b").alias("hub"), "block", F.lit(0).alias("kind"), F.col("b").alias("set")).distinct())
+        .union(members.filter("set <> hub").select("hub", "block", F.lit(2).alias("kind"), "set"))
+        .union(hubs.select("hub", "block", F.lit(0).alias("kind"), F.col("hub").alias("set"))),
         "meetings",
     )
-    needed = meet.select("set").distinct().join(rows.filter("doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id")), "set")
-    needed = stored(needed, "needed")
-    sized = F.broadcast if needed.count() <= BROADCAST_IDS else (lambda df: df)
-    ids = needed.select(F.col("doc_id").alias(id_col)).distinct()
-    content = shingled(docs.select(id_col, text_col).join(sized(ids), id_col, "left_semi"), id_col, text_col, words, True)
-    content = content.join(sized(needed), ["set", "doc_id"], "left_semi").select("set", "shingles")  # a repeated row repeats its set
+    needed = _sized(stored(meet.select("set").distinct().join(sets.select("set", F.col("least").alias("doc_id")), "set"), "needed"))
+    ids = _sized(needed.select(F.col("doc_id").alias(id_col)).distinct())
+    content = contents(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), numbers, id_col, text_col, words)
+    content = content.join(needed, ["set", "doc_id"], "left_semi").select("set", "shingles")  # a repeated row repeats its set
 
     found = stored(_probe(meet.join(content, "set").select("hub", "block", "kind", "set", "shingles")), "links")
     result = found.filter("not apart").select("a", "b")
@@ -352,28 +409,54 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: st
     apart = found.filter("apart").select("hub", F.col("block").alias("own"), F.col("a").alias("set"))
     many = members.filter("blocks > 1")
     if not many.isEmpty():
-        strangers = apart.join(many.select("hub", "blocks").distinct(), "hub").select("hub", "own", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).filter("own <> block")
+        strangers = apart.join(_sized(many.select("hub", "blocks").distinct()), "hub").select("hub", "own", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).filter("own <> block")
         second = many.filter("set <> hub").select("hub", F.col("block").cast("int").alias("block"), F.lit(1).alias("kind"), "set").union(strangers.select("hub", "block", F.lit(3), "set"))
         more = stored(_probe(second.join(content, "set").select("hub", "block", "kind", "set", "shingles")), "links")
         result = result.union(more.filter("not apart").select("a", "b"))
     return result
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    rows = stored(shingled(docs, id_col, text_col, words), "sizes")
-    roots = components(links(docs, rows, id_col, text_col, words))
-    least = rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"))
-    placed = least.join(roots, least["set"] == roots["node"], "left").select("set", "least", F.coalesce("root", "set").alias("root"))
+def _numbered(rows: DataFrame, id_bytes: int) -> tuple[DataFrame, Numbers]:
+    """rows with sets that differ under different numbers.  What reaches the driver are the digests whose first half is
+    that of another set: among n sets about n**2 / 2**65."""
+    several = rows.groupBy("set").agg(F.min("twin").alias("first"), F.max("twin").alias("last")).filter("first <> last")
+    found = rows.join(several, "set").filter("twin <> first").select("set", "twin").distinct().collect()
+    if not found:
+        return rows, Numbers(id_bytes)
+    twins = rows.sparkSession.createDataFrame([(r["set"], r["twin"], True) for r in found], "set long, twin long, packframe_moved boolean")
+    moved = rows.join(F.broadcast(twins), ["set", "twin"], "left").withColumn("set", F.when(F.col("packframe_moved"), F.col("twin")).otherwise(F.col("set")))
+    return moved.select(*rows.columns), Numbers(id_bytes, frozenset((r["set"], r["twin"]) for r in found))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: list[str] | None = None, id_bytes: int = 8) -> DataFrame:
+    """The columns `keep`, doc_id, n_shingles, component_id, class_id of every row.  class_id: a number of the class that no
+    other class has, also where ids are repeated; null where component_id is null, or is that of an empty set."""
+    rows, numbers = _numbered(stored(shingled(docs, id_col, text_col, words, keep, id_bytes), "sizes"), id_bytes)
+    sets = stored(rows.filter("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("least")), "sets")
+    roots = components(links(docs, sets, numbers, id_col, text_col, words))
+    placed = sets.join(roots, sets["set"] == roots["node"], "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     tops = placed.groupBy("root").agg(F.min("least").alias("component"))
-    known = placed.join(tops, "root").select("set", "component")
+    known = placed.join(tops, "root").select("set", "component", "root")
     got = rows.join(known, "set", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return got.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    linked_row = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    component = F.when(linked_row, F.col("component")).otherwise(F.col("doc_id"))
+    return got.select(*(keep or []), "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(linked_row, F.col("root")).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """The rows of docs less all but one of each class: the one of the least id, and of equal ids that of the least hash of
+    its text.  Rows without an id or without words are in no class, and stay, repeated ones too."""
+    blank = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    alone = F.col(id_col).isNull() | blank
+    tagged = docs.withColumn("packframe_tag", F.xxhash64(text_col))
+    found = classes(tagged.filter(~alone), id_col, text_col, words, ["packframe_tag"])
+    kept = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "packframe_tag")).alias("k")).select(F.col("k.doc_id").alias(id_col), "k.packframe_tag").distinct()
+    one = tagged.filter(~alone).join(kept, [id_col, "packframe_tag"], "left_semi").dropDuplicates([id_col, "packframe_tag"])
+    return one.select(*(f"`{c}`" for c in docs.columns)).unionByName(docs.filter(alone))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP1_SQL = r"""

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 from fractions import Fraction
 
@@ -164,6 +165,36 @@ def test_plan_uses_every_piece_once(seed):
         assert n == 50  # two of 22 fit with 20 to spare
 
 
+def checked_plan(counts, capacity):
+    used = np.zeros(capacity + 1, int)
+    for pattern, copies in packing.plan(counts, capacity):
+        assert sum(pattern) <= capacity and copies > 0
+        for x in pattern:
+            used[x] += copies
+    assert (used == counts).all()
+
+
+def test_plan_ends_where_sums_exist_only_as_doubles():
+    """Each sum of three exists only as twice a length of which there is one piece."""
+    few = [t for t in range(1000) if "2" not in np.base_repr(t, 3)][:32]
+    a = [3 * t + 1 for t in few]
+    counts = np.bincount([1091, *a, *(3005 - 2 * x for x in a)], minlength=4097)
+    began = time.perf_counter()
+    checked_plan(counts, 4096)
+    assert time.perf_counter() - began < 10
+
+
+def test_plan_of_sparse_histograms_ends():
+    rng = np.random.default_rng(8)
+    began = time.perf_counter()
+    for _ in range(60):
+        counts = np.zeros(4097, int)
+        chosen = rng.choice(np.arange(1, 4097), rng.integers(1, 700), replace=False)
+        counts[chosen] = rng.integers(1, rng.choice([2, 3, 100_000]), len(chosen))
+        checked_plan(counts, 4096)
+    assert time.perf_counter() - began < 60
+
+
 def test_exact_combinations_are_consumed_first():
     counts = np.bincount([60, 4, 50, 9, 5, 40, 12, 7, 5], minlength=65)
     assert sorted(p for p, _ in packing.plan(counts, 64)) == [(40, 12, 7, 5), (50, 9, 5), (60, 4)] or len(packing.plan(counts, 64)) == 3

@@ -139,7 +139,7 @@ def brute_force(texts):
 @pytest.mark.parametrize("few, block", [(32, 4096), (1, 4096), (2, 3)])
 def test_join_is_brute_force(spark, monkeypatch, few, block):
     """With small limits, hubs, blocks and the second round do all of the work."""
-    monkeypatch.setattr(ngram_join.candidates, "__defaults__", (few,))
+    monkeypatch.setattr(ngram_join.candidates, "__defaults__", (few, block))
     monkeypatch.setattr(ngram_join.shards, "__defaults__", (few, block))
     texts = near_copies() + [None, "", "  ", "one two", "ONE two", "one two three"] + ["long " + "word " * 3000] * 2
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, set string, n int")
@@ -149,6 +149,42 @@ def test_join_is_brute_force(spark, monkeypatch, few, block):
     assert len({*roots}) < len(texts) - 50
 
 
+@pytest.mark.parametrize("id_bytes, hot", [(1, 1), (8, 1), (2, 3)])
+def test_join_with_twins_and_parts(spark, monkeypatch, id_bytes, hot):
+    """Sets whose first digest halves are equal stay apart; rows of frequent shingles are dealt to parts."""
+    monkeypatch.setattr(ngram_join.prefixes, "__defaults__", (*ngram_join.prefixes.__defaults__[:-1], hot))
+    texts = near_copies(1, size=25)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(df, id_bytes=id_bytes).collect()}
+    sizes, roots = brute_force(texts)
+    assert got == {i: (sizes[i], roots[i]) for i in range(len(texts))}
+    rows, numbers = ngram_join._numbered(ngram_join.shingled(df, id_bytes=id_bytes), id_bytes)
+    assert bool(numbers.twins) == (id_bytes < 8) and rows.select("set").distinct().count() == len({frozenset(reference_set(t)) for t in texts})
+
+
+def test_words_that_collide_by_construction(spark):
+    """Thue-Morse words and their complements are equal under any polynomial modulo a power of two."""
+    for n in (1024, 2048, 4096, 1 << 17):
+        one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        two = one.translate(str.maketrans("ab", "ba"))
+        a, b = shingles.shingle_sets([one.encode(), two.encode()])
+        assert a.tolist() != b.tolist()
+    assert shingles.shingle_sets([b"x" * 70_000 + b" y"])[0].tolist() == shingles.shingle_sets([b"other", b"X" * 70_000 + b"\n Y"])[1].tolist()
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in ngram_join.classes(df).collect()) == [1, 2]
+
+
+def test_one_of_each(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    u = " ".join(f"v{i}" for i in range(30))
+    rows = [(3, t), (5, t + " more"), (5, u), (5, u), (7, u + " x"), (None, t), (None, t), (9, None), (9, " "), (9, " ")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, `set` string, n int")
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, [(r["doc_id"], r["text"]) for r in got.collect()])) == sorted(map(str, [(3, t), (5, u), (None, t), (None, t), (9, None), (9, " "), (9, " ")]))
+    assert ngram_join.one_of_each(df.limit(0)).count() == 0
+
+
 def test_join_edges(spark):
     schema = "doc_id long, text string"
     assert ngram_join.classes(spark.createDataFrame([], schema)).count() == 0
