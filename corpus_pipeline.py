@@ -3,13 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one reads it from Parquet.  All but the last
 return the columns of documents: language ID drops documents in none of the learned languages (but those of a few words,
 which it can't tell), the quality classifier those more likely of label 0, the n-gram join all but the document with
-the least id of each class of near copies; documents without an id stay there.  The last stage packs what is left.
+the least id of each class of near copies (rows of one id whose texts are in different classes are different documents;
+those without an id or without words stay).  The last stage packs what is left.
+
+Every stage takes null, empty and very long texts, repeated rows, ids that are repeated with other texts, columns of
+any other name, and an empty table, as the docstrings of the operators say.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from packframe.llm import langid, ngram_join, packing, quality
 from packframe.llm.common import shared_path, stored, table
@@ -29,9 +32,7 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = ngram_join.classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    return ngram_join.one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
