@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from packframe.llm import audio, byte_bpe, chat, packing, warc
 
@@ -254,10 +255,12 @@ def pages(spark):
     return spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("common", [1000, 2])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, common):
+    monkeypatch.setattr(warc, "COMMON", common)
     path = f"file://{tmp_path}/a"
     warc.write_archive(pages(spark), path)
-    assert spark.read.parquet(f"{path}/payloads").count() == 6
+    assert spark.read.parquet(f"{path}/payloads").count() == 6 and spark.read.parquet(f"{path}/common").count() == (common == 2)
     got = {(r["page_id"], r["payload_bytes"]): r for r in warc.read_index(spark, path).collect()}
     assert got[(1, 1003)]["record_type"] == "revisit" and got[(1, 1003)]["refers_to"] == 5 and got[(5, 1003)]["record_type"] == "response"
     assert got[(None, 1003)]["refers_to"] == 5 and got[(None, 2000)]["record_type"] == "response"
@@ -265,18 +268,33 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(r["declared_digest"] == r["payload_digest"] for r in got.values())
     records = warc.read_records(spark, path).collect()
     assert len(records) == 12
+    ids, refers = [], set()
     for r in records:
         head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
         lines = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and block.endswith(b"\r\n\r\n") and len(block) == int(lines["Content-Length"]) + 4
         assert lines["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(r["payload"]).hexdigest() and "X" not in lines
+        ids.append(lines["WARC-Record-ID"])
+        refers |= {lines["WARC-Refers-To"]} if "WARC-Refers-To" in lines else set()
+    assert len({*ids}) == 12 and refers <= {*ids} and len(refers) == 1
+
+
+def test_warc_long_and_binary_like_payloads(spark, tmp_path):
+    long = "WARC/1.1\r\n\r\n<\U0001f600>\x00" * 400_000
+    df = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, "u", "\r\n\r\n")], "page_id long, url string, html string")
+    warc.write_archive(df, f"file://{tmp_path}/a")
+    got = {r["page_id"]: r for r in warc.read_index(spark, f"file://{tmp_path}/a").collect()}
+    assert got[1]["refers_to"] == 2 and got[2]["payload_bytes"] == len(long.encode()) and got[2]["payload_digest"] == got[1]["payload_digest"] == hashlib.sha1(long.encode()).hexdigest()
+    assert got[3]["payload_bytes"] == 4 and got[1]["record_bytes"] < 1000 < got[2]["record_bytes"]
 
 
 def test_warc_damage_is_found(spark, tmp_path):
     path = f"file://{tmp_path}/a"
     warc.write_archive(pages(spark), path)
-    spark.read.parquet(f"{path}/payloads").selectExpr("digest", "cast(concat(cast(payload as string), '!') as binary) payload").write.parquet(f"{path}/b/payloads")
-    spark.read.parquet(f"{path}/headers").write.parquet(f"{path}/b/headers")
+    one, other = (spark.read.parquet(f"{path}/payloads").orderBy("digest").select("packed").collect()[i][0] for i in (0, 1))
+    spark.read.parquet(f"{path}/payloads").withColumn("packed", F.when(F.col("packed") == one, F.lit(other)).otherwise(F.col("packed"))).write.parquet(f"{path}/b/payloads")
+    for name in ("headers", "common"):
+        spark.read.parquet(f"{path}/{name}").write.parquet(f"{path}/b/{name}")
     with pytest.raises(Exception, match="digest"):
         warc.read_index(spark, f"{path}/b").collect()
 
