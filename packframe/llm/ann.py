@@ -1,19 +1,21 @@
 """Operator 10, approximate nearest neighbours: one hierarchical navigable small-world graph per shard.
 
 Equal vectors are one node, which names the k + 1 smallest of their ids: no query can return more of them.  Nodes are
-dealt by a hash of the vector to shards of about SHARD nodes.  A shard's graph has levels of geometrically falling
+dealt by a hash of the vector to shards of about SHARD nodes, or of GROWTH times the square root of all nodes if that is
+more (but of SHARD_BYTES at most), so that shards become larger as well as more.  A shard's graph has levels of geometrically falling
 size; on each level a node is linked with up to `m` (twice as many on the lowest) near nodes of different directions,
 both ways.  Link candidates come from a blocked exact search inside the shard, so the graph doesn't depend on any
 order of insertion.  It is stored as flat arrays: vectors, and for each level its nodes and a table of neighbours.
 
-A search enters at the top, follows a beam down, and keeps the best `beam` nodes on the lowest level.  Each query is
-sent to every shard of its dimension; the shards' results are merged.  Scores are cosines of the original vectors in
-double precision.
+A search enters at the top, follows a beam down, and keeps the best `beam` nodes on the lowest level.  Queries with
+equal vectors are searched once.  Each is sent to every shard of its dimension, in chunks of QUERIES, and the shards'
+results are merged.  Scores are cosines of the original vectors in double precision; vectors are scaled by a power of
+two first, which changes no score but keeps squares of very large and very small components finite.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors are
 compared with those of the same dimension; equal scores go to the smaller id; a query never returns its own id; a
-null id is no query and no candidate; repeated rows of an id are one candidate (the best of them); an empty table has
-no results.
+null id is no query and no candidate; repeated rows of an id are one candidate (the best of them); other columns are
+ignored, whatever their names; an empty table has no results.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packframe.llm.common import map_batches, stored, table
+from packframe.llm.common import join_common, map_batches, small, stored, table
 from packframe.llm.shingles import mix64
 
-SHARD = 8192
+SHARD, GROWTH, SHARD_BYTES = 8192, 8, 64 << 20
+#: Queries that one task sends through a shard.
+QUERIES = 1 << 16
 LINKS = 16
 CANDIDATES = 64
 BEAM = 192
@@ -38,6 +42,16 @@ _AT_ONCE = 256
 _INDEX = "dim int, shard int, ids array<array<bigint>>, vectors binary, levels array<binary>, neighbours array<binary>"
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component is from 0.5 to 1."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    even = scaled(vectors)
+    return (even / np.linalg.norm(even, axis=1, keepdims=True)).astype(np.float32)
+
+
 def _nearest(unit: np.ndarray, count: int) -> np.ndarray:
     """For each row the `count` nearest other rows, nearest first; -1 where there are fewer."""
     n = len(unit)
@@ -93,7 +107,7 @@ def _linked(unit: np.ndarray, m: int, most: int) -> np.ndarray:
 def build(vectors: np.ndarray, m: int = LINKS) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Levels from the lowest up: the nodes of each, and their neighbours (nodes; -1: none)."""
     n = len(vectors)
-    unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    unit = _unit(vectors)
     seed = mix64(np.ascontiguousarray(vectors).view(np.uint8).reshape(n, -1).astype(np.uint64) @ (np.arange(vectors.shape[1] * vectors.itemsize, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
     height = np.floor(-np.log((seed.astype(np.float64) + 1) / 2.0**64) / math.log(m)).astype(int)
     levels, neighbours = [], []
@@ -113,8 +127,8 @@ def build(vectors: np.ndarray, m: int = LINKS) -> tuple[list[np.ndarray], list[n
 
 class Graph:
     def __init__(self, vectors: np.ndarray, levels: list[np.ndarray], neighbours: list[np.ndarray]):
-        self.vectors = vectors
-        self.unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+        self.vectors = scaled(vectors)
+        self.unit = _unit(vectors)
         self.levels, self.neighbours = levels, neighbours
 
     def _level(self, q: np.ndarray, start: np.ndarray, level: int, beam: int) -> np.ndarray:
@@ -149,7 +163,7 @@ class Graph:
 
     def search(self, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """The best nodes of each query (rows), nearest first; -1: none."""
-        q = (queries / np.linalg.norm(queries, axis=1, keepdims=True)).astype(np.float32)
+        q = _unit(queries)
         start = np.tile(self.levels[-1].astype(np.int64), (len(q), 1))
         for level in range(len(self.levels) - 1, -1, -1):
             start = self._level(q, start, level, beam if level == 0 else max(8, beam // 8))
@@ -164,13 +178,16 @@ def sound(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
     return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)).withColumn("dim", F.size(v))
 
 
-def build_index(rows: DataFrame, k: int = 5, shard_nodes: int = SHARD) -> DataFrame:
-    """The shards of sound() rows, a row of flat arrays each."""
+def build_index(rows: DataFrame, k: int = 5, shard_nodes: int | None = None) -> DataFrame:
+    """The shards of sound() rows, a row of flat arrays each.  shard_nodes: nodes of a shard, by default what fits their
+    number and dimension."""
     same = Window.partitionBy("vector").orderBy("vec_id")
     few = rows.dropDuplicates(["vec_id", "vector"]).withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1)
     nodes = stored(few.groupBy("vector", "dim").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "ann-nodes")
-    sizes = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_nodes).cast("int").alias("shards"))
-    dealt = nodes.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    count = F.count(F.lit(1))
+    each = F.lit(shard_nodes) if shard_nodes else F.least(F.greatest(F.lit(SHARD), F.ceil(GROWTH * F.sqrt(count))), F.greatest(F.lit(1024), F.floor(SHARD_BYTES / (8 * F.col("dim")))))
+    sizes = nodes.groupBy("dim").agg(F.ceil(count / each).cast("int").alias("shards"))
+    dealt = nodes.join(small(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches))
@@ -189,13 +206,17 @@ def build_index(rows: DataFrame, k: int = 5, shard_nodes: int = SHARD) -> DataFr
     return dealt.select("dim", "shard", "ids", "vector").groupBy("dim", "shard").applyInArrow(lambda t: pa.Table.from_batches(list(shard(iter(t.to_batches())))), _INDEX)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM, at_most: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score of each query (a sound() row)."""
-    shards = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
+    key = ["h1", "h2"]  # 128 bits of the vector
+    own = queries.dropDuplicates(["vec_id", "vector"]).select("dim", "vector", F.col("vec_id").alias("query_id"), F.xxhash64("vector").alias("h1"), F.xxhash64("vector", F.lit("2")).alias("h2"))
+    asked = stored(own.groupBy("dim", *key).agg(F.first("vector").alias("vector")), "ann-queries")
+    chunks = max(1, -(-asked.count() // at_most))
+    shards = small(index.groupBy("dim").agg((F.max("shard")).alias("last")))
     nothing = {c: F.lit(None).cast(t) for c, t in (("ids", "array<array<bigint>>"), ("vectors", "binary"), ("levels", "array<binary>"), ("neighbours", "array<binary>"))}
-    sent = queries.dropDuplicates(["vec_id", "vector"]).join(F.broadcast(shards), "dim").select("dim", F.explode("shards").alias("shard"), "vec_id", "vector").withColumns(nothing)
-    both = index.withColumns({"vec_id": F.lit(None).cast("long"), "vector": F.lit(None).cast("array<double>")}).unionByName(sent)
-    both = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.col("vectors").isNull())
+    sent = asked.join(shards, "dim").select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), F.pmod("h2", F.lit(chunks)).cast("int").alias("chunk"), *key, "vector").withColumns(nothing)
+    copies = index.withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))), "h1": F.lit(None).cast("long"), "h2": F.lit(None).cast("long"), "vector": F.lit(None).cast("array<double>")})
+    both = copies.unionByName(sent).repartition("dim", "shard", "chunk").sortWithinPartitions("dim", "shard", "chunk", F.col("vectors").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, ids = None, None
@@ -212,24 +233,30 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM) -
                 for s in range(at, stop, _AT_ONCE):
                     n = min(stop, s + _AT_ONCE) - s
                     q = x["vector"].slice(s, n).flatten().to_numpy().reshape(n, -1)
-                    yield _answers(graph, ids, x["vec_id"].slice(s, n).to_pylist(), q, k, beam)
+                    yield _answers(graph, ids, list(zip(x["h1"].slice(s, n).to_pylist(), x["h2"].slice(s, n).to_pylist(), strict=True)), q, k + 1, beam)
+
+    def best(found: DataFrame, by: list[str], count: int) -> DataFrame:
+        each = found.groupBy(*by, "vec_id").agg(F.max("score").alias("score"))
+        return each.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= count)
 
-    found = map_batches(both, run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # one more than is asked for, since a query is a node as well
+    top = best(map_batches(both, run, "h1 long, h2 long, vec_id long, score double"), key, k + 1).drop("rank")
+    pairs = join_common(own.select("query_id", *key), top, key).filter("query_id <> vec_id")
+    return best(pairs, ["query_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _answers(graph: Graph, ids: list[list[int]], own: list[int], q: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
+def _answers(graph: Graph, ids: list[list[int]], keys: list[tuple[int, int]], q: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
     best = graph.search(q, beam)
-    out: list[tuple[int, int, float]] = []
-    for i, query in enumerate(own):
+    q = scaled(q)
+    out: list[tuple[int, int, int, float]] = []
+    for i, key in enumerate(keys):
         nodes = best[i][best[i] >= 0]
         v = graph.vectors[nodes]
         cosine = (v * q[i]).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q[i] * q[i]).sum()))
-        rows = sorted((-c, x) for c, node in zip(cosine.tolist(), nodes.tolist(), strict=True) for x in ids[node] if x != query)
-        out += [(query, x, -c) for c, x in rows[:k]]
-    columns = list(zip(*out, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+        rows = sorted((-c, x) for c, node in zip(cosine.tolist(), nodes.tolist(), strict=True) for x in ids[node])
+        out += [(*key, x, -c) for c, x in rows[:k]]
+    columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["h1", "h2", "vec_id", "score"])
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

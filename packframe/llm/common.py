@@ -9,12 +9,17 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes of one Arrow batch between the JVM and a Python worker; a single longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
 
 
+#: Rows of one key from which on join_common() deals them out, and the most rows of a table of keys that is broadcast.
+COMMON, BROADCAST_ROWS = 1000, 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,3 +95,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, broadcast if it has BROADCAST_ROWS at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def join_common(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join of `many` rows of a key with `few`.  Rows of keys that are there more than COMMON times are dealt to
+    salts, and what they meet is copied to each salt, so that no key lands in one task."""
+    common = stored(many.groupBy(*keys).count().filter(F.col("count") > COMMON).select(*keys, F.ceil(F.col("count") / COMMON).cast("int").alias("packframe_salts")), "common")
+    salts = F.coalesce("packframe_salts", F.lit(1))
+    dealt = many.join(small(common), keys, "left").withColumn("packframe_salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int")).drop("packframe_salts")
+    copied = few.join(small(common), keys, "left").withColumn("packframe_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("packframe_salts")
+    return dealt.join(copied, [*keys, "packframe_salt"]).drop("packframe_salt")

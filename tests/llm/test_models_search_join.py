@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from packframe.llm import ann, components, langid, ngram_join, quality, shingles
+from packframe.llm import ann, common, components, langid, ngram_join, quality, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -233,16 +233,17 @@ def exact_neighbours(rows, k=5):
     return out
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 12))
     rows = [(i, (centres[i % 6] + rng.normal(size=12) * 0.4).astype(np.float32).tolist()) for i in range(900)]
-    rows += [(1000 + i, [1.0] * 12) for i in range(60)] + [(2000, [1.0, 0.0]), (2001, [0.5, 0.5]), (2050, None), (2100, []), (2150, [0.0] * 12), (2200, [float("nan")] * 12), (2250, [1.0, None]), (None, [1.0] * 12), (100, rows[100][1])]
+    rows += [(1000 + i, [1.0] * 12) for i in range(120)] + [(2000, [1.0, 0.0]), (2001, [0.5, 0.5]), (2050, None), (2100, []), (2150, [0.0] * 12), (2200, [float("nan")] * 12), (2250, [1.0, None]), (None, [1.0] * 12), (100, rows[100][1])]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, ids string")
     vectors = ann.sound(df)
     index = ann.build_index(vectors, shard_nodes=200).cache()
     assert index.filter("dim = 12").count() == 5
-    got = ann.search(index, vectors.filter("vec_id % 50 = 0")).toPandas()
+    monkeypatch.setattr(common, "COMMON", 2)  # copies of one vector are queries too
+    got = ann.search(index, vectors.filter("vec_id % 50 = 0"), at_most=7).toPandas()
     want = exact_neighbours(rows)
     assert set(got["query_id"]) == {q for q, w in want.items() if w}
     hits = total = 0
@@ -265,3 +266,36 @@ def test_graph_levels():
     assert len(levels) > 1 and all(set(b) <= set(a) for a, b in itertools.pairwise(levels))
     assert neighbours[0].shape == (700, 2 * ann.LINKS)
     assert ann.build(v[:1])[0][0].tolist() == [0]
+
+
+def test_recall_on_given_vectors(spark):
+    """op10_ann as registered against brute force, and with small shards, over the whole table."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    data = [(r["vec_id"], r["embedding"]) for r in rows.collect()]
+    want = {q: [j for _, j in w] for q, w in exact_neighbours(data).items()}
+    vectors = ann.sound(rows)
+    for got in (ann.op10_ann(spark, "/root/testdata/sf0.1"), ann.search(ann.build_index(vectors, shard_nodes=150), vectors.filter("vec_id % 50 = 0"))):
+        found = {}
+        for r in got.orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert found.keys() == want.keys() and all(len(found[q]) == len(want[q]) for q in want)
+        hits = sum(len({*found[q]} & {*want[q]}) for q in want)
+        assert hits / sum(map(len, want.values())) >= 0.95
+
+
+def test_extreme_vectors(spark):
+    rng = np.random.default_rng(2)
+    plain = rng.normal(size=(120, 6))
+    factor = np.array([1.0, 1e160, 1e-200, 1e300, 5e-310])[np.arange(120) % 5]
+    rows = [(i, (plain[i] * factor[i]).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = ann.sound(df)
+    got = {}
+    for r in ann.search(ann.build_index(vectors), vectors.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in (0, 50, 100):
+        u = plain / np.linalg.norm(plain, axis=1, keepdims=True)
+        scores = u @ u[q]
+        scores[q] = -9
+        best = np.argsort(-scores)[:5]
+        assert [x for x, _ in got[q]] == best.tolist() and np.allclose([s for _, s in got[q]], scores[best], atol=1e-6)
