@@ -238,7 +238,7 @@ def frequent(texts: DataFrame, words: int = WORDS, numbers: Numbers = Numbers())
 
 
 def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, numbers: Numbers = Numbers(), hot: int = HOT) -> DataFrame:
-    """shingle, part, set, n: the first shingles of each set in the global order.  part: 0, or from 1 on for shingles
+    """shingle, set, n, part: the first shingles of each set in the global order.  part: 0, or from 1 on for shingles
     whose count has a binary logarithm of `hot` or more."""
     value, rank = often
 
@@ -267,22 +267,22 @@ def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int
         own = np.repeat(np.array([d for d, _, _, _ in held], np.int64), counts)
         ranks = np.concatenate([r for _, _, _, r in held]).astype(np.int64)
         part = np.where(ranks >= hot, 1 + (own & ((1 << np.maximum(0, ranks - hot + 1)) - 1)), 0)
-        columns = [np.concatenate([s for _, _, s, _ in held]).view(np.int64), part.astype(np.int32), own, np.repeat(np.array([n for _, n, _, _ in held], np.int32), counts)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "part", "set", "n"])
+        columns = [np.concatenate([s for _, _, s, _ in held]).view(np.int64), own, np.repeat(np.array([n for _, n, _, _ in held], np.int32), counts), part.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "set", "n", "part"])  # the two random numbers side by side: shuffled rows compress better
 
-    return map_batches(texts, run, "shingle long, part int, set long, n int")
+    return map_batches(texts, run, "shingle long, set long, n int, part int")
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """shingle, part, set, n, size: of the prefixes, what `size` > 1 sets share; each once.  Stored.
+    """shingle, set, n, part, size: of the prefixes, what `size` > 1 sets share; each once.  Stored.
 
     Groups of part 0 are of shingles that no task saw often: one in a million at most, whatever the corpus.  The others
     are counted by part, and their sums, MOST_FREQUENT at most, are broadcast."""
     own = Window.partitionBy("shingle", "part")
-    several = rows.withColumns({"lo": F.min("set").over(own), "hi": F.max("set").over(own)}).filter("lo <> hi or part > 0").select("shingle", "part", "set", "n").distinct()
+    several = rows.withColumns({"lo": F.min("set").over(own), "hi": F.max("set").over(own)}).filter("lo <> hi or part > 0").select("shingle", "set", "n", "part").distinct()
     counted = stored(several.withColumn("size", F.count(F.lit(1)).over(own)), "shared")
     sums = counted.filter("part > 0").groupBy("shingle").agg(F.count(F.lit(1)).alias("sum"))
-    return counted.join(F.broadcast(sums), "shingle", "left").select("shingle", "part", "set", "n", F.coalesce("sum", "size").alias("size")).filter("size > 1")
+    return counted.join(F.broadcast(sums), "shingle", "left").select("shingle", "set", "n", "part", F.coalesce("sum", "size").alias("size")).filter("size > 1")
 
 
 def candidates(common: DataFrame, few: int = FEW, block: int = BLOCK) -> DataFrame:
@@ -387,7 +387,7 @@ def links(docs: DataFrame, sets: DataFrame, numbers: Numbers, id_col: str = "doc
     """a, b: a spanning forest, at least, of the links between different sets.  sets: set, least (a doc_id of it)."""
     texts = docs.filter(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(text_col)
     common = shared(prefixes(texts, frequent(texts, words, numbers), words, numbers))
-    pairs = stored(candidates(common), "pairs")
+    pairs = candidates(common)
     members = stored(shards(common), "shards")
     # who meets whom: pairs in blocks of their own (below 0), hubs in each of their blocks
     hubs = members.select("hub", "block").distinct()
