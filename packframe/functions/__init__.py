@@ -6,6 +6,7 @@ from packframe.functions.scalar import (
     count_value,
     expand_kind,
     format_scalar,
+    lenient_cell,
     needs_quote,
     number_text,
     parse_scalar,
@@ -19,6 +20,6 @@ from packframe.functions.scalar import (
 )
 
 __all__ = [
-    "abbreviate_kind", "canonical_cell", "count_value", "expand_kind", "format_scalar", "needs_quote", "number_text", "parse_scalar", "quote_string", "savings_text", "score_text",
+    "abbreviate_kind", "canonical_cell", "count_value", "expand_kind", "format_scalar", "lenient_cell", "needs_quote", "number_text", "parse_scalar", "quote_string", "savings_text", "score_text",
     "split_cells", "typed_cell", "unquote_string", "wire_bytes",
 ]

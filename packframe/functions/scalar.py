@@ -122,28 +122,44 @@ def parse_scalar(cell: Column) -> Column:
     )
 
 
+def _read_cell(cell: Column, kind: T.DataType) -> Column:
+    """The value of a cell; null for cells of another type."""
+    text = F.when(cell.startswith('"'), unquote_string(cell)).otherwise(cell)
+    if isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, T.BinaryType):
+        return F.unbase64(text)
+    if isinstance(kind, T.BooleanType):
+        return F.when(cell == "true", True).when(cell == "false", False)
+    if isinstance(kind, T.IntegralType):
+        return F.when(cell.rlike(r"\A-?[0-9]+\z"), cell.try_cast(kind))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(cell.rlike(rf"\A{NUMBER}\z"), cell.try_cast(kind))
+    return text.try_cast(kind)
+
+
+def _marker(cell: Column) -> Column:
+    """Whether a cell stands for an attachment."""
+    return (cell == "^") | cell.rlike(r"(?s)\A\^\{.*\}\z")
+
+
 def typed_cell(cell: Column, kind: T.DataType, absent: bool = True) -> Column:
     """A cell read as a value of a known type; null is null, other cells fail loudly.  absent: whether `~` is null too, or
     fails like the marks of attachments."""
-    text = F.when(cell.startswith('"'), unquote_string(cell)).otherwise(cell)
+    value = _read_cell(cell, kind)
     wrong = F.raise_error(F.concat(F.lit("invalid_line: not a "), F.lit(kind.simpleString()), F.lit(": "), cell)).cast(kind)
-    if isinstance(kind, T.StringType):
-        value = text
-    elif isinstance(kind, T.BinaryType):
-        value = F.unbase64(text)
-    elif isinstance(kind, T.BooleanType):
-        value = F.when(cell == "true", True).when(cell == "false", False)
-    elif isinstance(kind, T.IntegralType):
-        value = F.when(cell.rlike(r"\A-?[0-9]+\z"), cell.try_cast(kind))
-    elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        value = F.when(cell.rlike(rf"\A{NUMBER}\z"), cell.try_cast(kind))
-    else:
-        value = text.try_cast(kind)
     if not absent:
-        value = F.when((cell == "~") | (cell == "^") | cell.rlike(r"(?s)\A\^\{.*\}\z"), F.raise_error(F.concat(F.lit("delta_invalid: not a scalar: "), cell)).cast(kind)).otherwise(value)
+        value = F.when((cell == "~") | _marker(cell), F.raise_error(F.concat(F.lit("delta_invalid: not a scalar: "), cell)).cast(kind)).otherwise(value)
     return F.when(cell.isNull() | cell.isin("-", *["~"] * absent), F.lit(None).cast(kind)).when(value.isNull(), wrong).otherwise(value)
 
 
+def lenient_cell(cell: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """The value of a cell, and whether it is a cell of another type (then the value is null)."""
+    void = cell.isNull() | cell.isin("-", "~")
+    value = F.when(~void & ~_marker(cell), _read_cell(cell, kind))
+    return value, F.coalesce(~void & value.isNull(), F.lit(False))
+
+
 def split_cells(line: Column, delimiter: str = "|") -> Column:
     """array<string>: split outside quotes."""
     d = "," if delimiter == "," else "|"

@@ -106,7 +106,7 @@ def test_reanchor_stream(spark, tmp_path):
     held = ReanchorSession(spark, f"file://{tmp_path}/held", "id", policy=Policy.fixed(2))
     stream = spark.readStream.schema(ORDERS).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
     stream.writeStream.foreachBatch(held.write_batch(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    heads = [spark.read.text(f"{tmp_path}/out/turn-{i:08d}").first()[0] for i in range(3)]
+    heads = [next(line for f in sorted((tmp_path / f"out/turn-{i:08d}").glob("part-*")) for line in f.read_text().splitlines()) for i in range(3)]
     assert ["delta=true" in h for h in heads] == [False, True, False]
 
 
@@ -129,11 +129,12 @@ def test_source_and_sink(spark, tmp_path):
     assert sorted(map(str, spark.read.format("packframe").schema(df.schema).load(path).collect())) == sorted(map(str, df.collect()))
     inferred = spark.read.format("packframe").load(path)
     assert inferred.columns == df.columns and inferred.count() == 3
-    assert sorted(map(str, wire_source.read_table(spark, f"{path}/*.wire", df.schema).collect())) == sorted(map(str, df.collect()))
+    assert sorted(map(str, wire_source.read_table(spark, path, df.schema).collect())) == sorted(map(str, df.collect()))
     df.limit(1).write.format("packframe").mode("overwrite").save(path)
     assert spark.read.format("packframe").schema(df.schema).load(path).count() == 1
     (tmp_path / "bad.wire").write_text("nonsense")
-    assert spark.read.format("packframe").schema(df.schema).option("mode", "PERMISSIVE").load(f"{tmp_path}/bad.wire").count() == 0
+    bad = spark.read.format("packframe").schema("id long, _error_code string, _corrupt_line string").option("mode", "PERMISSIVE").load(f"{tmp_path}/bad.wire").collect()
+    assert [(r["id"], r["_error_code"]) for r in bad] == [(None, "missing_header")] and bad[0]["_corrupt_line"].endswith("bad.wire")
     with pytest.raises(Exception, match="missing_header"):
         spark.read.format("packframe").schema(df.schema).load(f"{tmp_path}/bad.wire").collect()
 
@@ -146,6 +147,57 @@ def test_stream_sink(spark, tmp_path):
     assert spark.read.format("packframe").schema("id long, s string").load(f"{tmp_path}/out").count() == 10
 
 
+def test_stream_sink_replays(tmp_path):
+    """A replayed batch with fewer parts leaves nothing of the former one."""
+    from pyspark.sql.types import StructType
+
+    sink = wire_source._StreamWriter(StructType().add("id", "long"), {"path": f"file://{tmp_path}/o"})
+    sink.commit([sink.write(iter([(1,)])), sink.write(iter([(2,)]))], 0)
+    sink.commit([sink.write(iter([(3,)]))], 0)
+    dropped = sink.write(iter([(4,)]))
+    sink.abort([dropped], 1)
+    assert [wire_source._rows({"path": f"{tmp_path}/o"}, f) for f in wire_source._files({"path": f"{tmp_path}/o"})] == [[{"id": 3}]]
+
+
+def test_schemas_of_all_files_are_merged(spark, tmp_path):
+    wire_source.register(spark)
+    (tmp_path / "a.wire").write_text(document.encode({"rows": [{"x": 1, "y": 2}]}))
+    (tmp_path / "b.wire").write_text(document.encode({"rows": [{"x": 1.5, "z": "t"}]}))
+    got = spark.read.format("packframe").load(str(tmp_path))
+    assert got.schema.simpleString() == "struct<x:double,y:bigint,z:string>" and sorted(map(tuple, got.collect())) == [(1.0, 2, None), (1.5, None, "t")]
+    with pytest.raises(Exception, match="invalid_field_declaration"):
+        spark.read.format("packframe").schema("x double").load(str(tmp_path)).collect()
+
+
+def test_tables_written_and_read_by_spark(spark, tmp_path):
+    df = spark.range(0, 1000, numPartitions=3).select("id", F.concat(F.lit("a|b"), F.col("id").cast("string")).alias("s"), (F.col("id") / 8).alias("d"))
+    path = f"{tmp_path}/t"
+    wire_source.write_table(df, path, "my table")
+    assert sorted(map(tuple, wire_source.read_table(spark, path, df.schema).collect())) == sorted(map(tuple, df.collect()))
+    files = sorted((tmp_path / "t").glob("part-*"))
+    assert len(files) == 3 and all(document.decode(f.read_text())["my table"] for f in files)
+    with pytest.raises(WireError, match="invalid_field_declaration"):
+        wire_source.read_table(spark, path, spark.range(1).schema)
+    whole = files[0].read_text()
+    for text, code in ((whole.replace("\n10|", "\n", 1).replace('"a|b10"|1.25\n', "", 1), "count_mismatch"), (whole[: whole.index("##!")], "count_mismatch"), (whole.partition("\n")[2], "missing_header"), (whole.replace("[?]", "[01]"), "invalid_count"), (whole.replace("[?]", "[5]"), "count_mismatch")):
+        (tmp_path / "bad").mkdir(exist_ok=True)
+        (tmp_path / "bad/one").write_text(text)
+        with pytest.raises(WireError, match=code):
+            wire_source.read_table(spark, f"{tmp_path}/bad", df.schema)
+    (tmp_path / "bad/one").write_text("GCF profile=generic\n## rows [4]{id,s,d}\n1|x|2\n1|x\ny|x|2\n2|-|-\n")
+    got = wire_source.read_table(spark, f"{tmp_path}/bad", df.schema, mode="PERMISSIVE").collect()
+    assert sorted(map(str, [tuple(r) for r in got])) == sorted(map(str, [(1, "x", 2.0, None, None), (None, None, None, "row_width_mismatch", "1|x"), (None, None, None, "invalid_line", "y|x|2"), (2, None, None, None, None)]))
+    wire_source.write_table(df.limit(0), f"{tmp_path}/none")
+    assert wire_source.read_table(spark, f"{tmp_path}/none", df.schema).count() == 0
+
+
+def test_table_stream(spark, tmp_path):
+    spark.range(10).withColumn("s", F.lit("x")).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, s string").parquet(f"{tmp_path}/in")
+    wire_source.write_stream(stream, f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert wire_source.read_table(spark, f"{tmp_path}/out/*", spark.createDataFrame([], "id long, s string").schema).count() == 10
+
+
 def command(name, text):
     return subprocess.run([sys.executable, "-m", "packframe", name], input=text.encode(), capture_output=True, cwd=ROOT)
 
