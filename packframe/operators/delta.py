@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from packframe.errors import WireError
 from packframe.functions import canonical_cell, format_scalar, savings_text, split_cells, typed_cell
 from packframe.operators.ordering import carry_last
-from packframe.operators.roots import record, table_root
+from packframe.operators.roots import record, root_of, table_root
 from packframe.operators.tables import decode_rows
 from packframe.plans.document import MAGIC, header_fields
 from packframe.plans.values import find_outside, key_text, parse_count, split_quoted, unquote
@@ -43,6 +43,11 @@ def _require_unique(df: DataFrame, key: str, what: str) -> None:
         raise WireError("delta_invalid", f"duplicate identity {found['id']} in {what}")
 
 
+def _mark(df: DataFrame) -> Column:
+    """What rows are compared by: a digest of the canonical record, so that no record is shuffled."""
+    return F.unhex(F.sha2(record(df), 256))
+
+
 def diff(base: DataFrame, after: DataFrame, key: str, check: bool = True) -> DataFrame:
     """_op, _id and the columns of `after`.  One full outer join on the identity.
 
@@ -53,8 +58,8 @@ def diff(base: DataFrame, after: DataFrame, key: str, check: bool = True) -> Dat
         _require_unique(base, key, "base")
         _require_unique(after, key, "next")
     rest = [c for c in after.columns if c != key]
-    b = base.select(identity(base, key).alias("_id"), F.col(f"`{key}`").alias("_key"), record(base).alias("_record"))
-    a = after.select(identity(after, key).alias("_id2"), record(after).alias("_record2"), *(f"`{c}`" for c in after.columns))
+    b = base.select(identity(base, key).alias("_id"), F.col(f"`{key}`").alias("_key"), _mark(base).alias("_record"))
+    a = after.select(identity(after, key).alias("_id2"), _mark(after).alias("_record2"), *(f"`{c}`" for c in after.columns))
     both = b.join(a, F.col("_id") == F.col("_id2"), "full_outer")
     op = F.when(F.col("_record").isNull(), "added").when(F.col("_record2").isNull(), "removed").when(F.col("_record") != F.col("_record2"), "changed")
     shown = {key: F.when(F.col("_id2").isNull(), F.col("_key")).otherwise(F.col(f"`{key}`"))} | {c: F.col(f"`{c}`") for c in rest}
@@ -225,13 +230,23 @@ def apply_delta(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
 
 
 def verify_delta(base: DataFrame, delta: DataFrame, key: str, base_root: str, new_root: str) -> DataFrame:
-    """The next snapshot, or a WireError; nothing is applied in part."""
-    if table_root(base) != base_root:
+    """The next snapshot, or a WireError; nothing is applied in part.
+
+    Base and delta are read once, for one full outer join that is stored; errors, both roots and the result come of it."""
+    columns = [f"`{c}`" for c in base.columns]
+    changed = delta.select("_id", "_op", *columns)
+    b = base.select(identity(base, key).alias("_id"), record(base).alias("_record"), F.struct(*columns).alias("_row"))
+    d = changed.select(F.col("_id").alias("_id2"), "_op", record(changed.select(*columns)).alias("_record2"), F.struct(*columns).alias("_row2"))
+    both = stored(b.join(d, F.col("_id") == F.col("_id2"), "full_outer").withColumn("_id", F.coalesce("_id", "_id2")).drop("_id2"), "verified")
+    if root_of(both.filter("_record is not null").select(F.col("_record").alias("r"))) != base_root:
         raise WireError("base_mismatch")
-    _require_unique(base, key, "base")
-    if (error := delta_errors(base, delta, key).first()) is not None:
-        raise WireError(error["code"], error["detail"])
-    after = apply_delta(base, delta, key)
-    if (root := table_root(after)) != new_root:
+    if (twice := both.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()) is not None:
+        raise WireError("delta_invalid", f"identity twice in base or delta {twice['_id']}")
+    wrong = both.filter(F.when(F.col("_op") == "added", F.col("_row").isNotNull()).otherwise(F.col("_op").isNotNull() & F.col("_row").isNull())).first()
+    if wrong is not None:
+        raise WireError("delta_invalid", f"{wrong['_op']} identity {'not ' * (wrong['_op'] != 'added')}in base {wrong['_id']}")
+    after = both.filter(F.coalesce(F.col("_op") != "removed", F.lit(True)))
+    kept = after.select(F.when(F.col("_op").isNull(), F.col("_record")).otherwise(F.col("_record2")).alias("r"), F.when(F.col("_op").isNull(), F.col("_row")).otherwise(F.col("_row2")).alias("_row"))
+    if (root := root_of(kept.select("r"))) != new_root:
         raise WireError("root_mismatch", f"computed {root}")
-    return after
+    return kept.select("_row.*")

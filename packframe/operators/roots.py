@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from packframe.functions import abbreviate_kind, canonical_cell, number_text
 from packframe.errors import WireError
 
 #: Bytes of canonical text up to which the root is an aggregate; beyond, sorted partitions are hashed one after another.
+#: The root is defined as one digest of all records, so hashing is sequential; sorting and formatting are not.
 SMALL = 64 << 20
+CHUNK = 8 << 20
 
 
 def record(df: DataFrame, fields: list[str] | None = None) -> Column:
@@ -34,20 +38,43 @@ def table_root_frame(df: DataFrame, fields: list[str] | None = None) -> DataFram
     return df.agg(F.concat(F.lit("sha256:"), F.sha2(_joined(record(df, fields)), 256)).alias("pack_root"))
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of a partition, joined to values of about CHUNK bytes."""
+    held: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            held.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["chunk"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["chunk"])
+
+
 def _streamed(records: DataFrame, digest) -> None:
-    """Feeds the records in byte order; the driver holds one partition at a time."""
-    for row in records.repartitionByRange("r").sortWithinPartitions("r").toLocalIterator(prefetchPartitions=False):
-        digest.update(row["r"].encode())
+    """Feeds the records in byte order.  They leave each sorted partition as a few large values; the driver holds one
+    partition, and fetches the next while it hashes."""
+    ordered = records.repartitionByRange("r").sortWithinPartitions("r").select("r")
+    for row in ordered.mapInArrow(_chunks, "chunk binary").toLocalIterator(prefetchPartitions=True):
+        digest.update(row["chunk"])
+
+
+def root_of(*records: DataFrame, small: int = SMALL) -> str:
+    """One digest of the records (r) of each DataFrame, sorted, one DataFrame after another."""
+    if sum(x.agg(F.sum(F.octet_length("r"))).first()[0] or 0 for x in records) <= small:
+        parts = [x.agg(_joined(F.col("r")).alias("t")).first()["t"] for x in records]
+        return "sha256:" + hashlib.sha256("".join(parts).encode()).hexdigest()
+    digest = hashlib.sha256()
+    for x in records:
+        _streamed(x, digest)
+    return "sha256:" + digest.hexdigest()
 
 
 def table_root(df: DataFrame, fields: list[str] | None = None, small: int = SMALL) -> str:
     """The root of a table of any size."""
-    records = df.select(record(df, fields).alias("r"))
-    if (records.agg(F.sum(F.octet_length("r"))).first()[0] or 0) <= small:
-        return table_root_frame(df, fields).first()[0]
-    digest = hashlib.sha256()
-    _streamed(records, digest)
-    return "sha256:" + digest.hexdigest()
+    return root_of(df.select(record(df, fields).alias("r")), small=small)
 
 
 def graph_records(symbols: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,10 +105,4 @@ def graph_root_frame(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def graph_root(symbols: DataFrame, edges: DataFrame, small: int = SMALL) -> str:
-    s, e = graph_records(symbols, edges)
-    if sum(x.agg(F.sum(F.octet_length("r"))).first()[0] or 0 for x in (s, e)) <= small:
-        return graph_root_frame(symbols, edges).first()[0]
-    digest = hashlib.sha256()
-    _streamed(s, digest)
-    _streamed(e, digest)
-    return "sha256:" + digest.hexdigest()
+    return root_of(*graph_records(symbols, edges), small=small)
