@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from packframe.errors import WireError
-from packframe.plans import document
+from packframe.plans import document, graph_text
 from packframe.sources import json_text
 
 #: What the functions return: the text, or the code of the error.
@@ -40,6 +40,11 @@ def _from_wire(values: pd.Series) -> pd.DataFrame:
     return _each(values, lambda v: json_text.serialize(document.decode(v)))
 
 
+@F.pandas_udf(RESULT)
+def _graph_to_wire(values: pd.Series) -> pd.DataFrame:
+    return _each(values, lambda v: graph_text.encode_graph(graph_text.Graph.of(json_text.parse(v))))
+
+
 def _mode(result: Column, mode: str) -> Column:
     if mode == "PERMISSIVE":
         return result
@@ -54,3 +59,9 @@ def to_wire(json_col: Column, flatten: bool = True, mode: str = "FAILFAST") -> C
 def from_wire(wire_col: Column, mode: str = "FAILFAST") -> Column:
     """JSON text of wire text, generic or graph."""
     return _mode(_from_wire(wire_col), mode)
+
+
+def graph_to_wire(json_col: Column, mode: str = "FAILFAST") -> Column:
+    """Wire text of the JSON form of one small graph (tool, tokenBudget, tokensUsed, packRoot, symbols, edges); from_wire()
+    gives that form back.  For graphs as tables see operators.graph."""
+    return _mode(_graph_to_wire(json_col), mode)

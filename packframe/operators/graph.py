@@ -237,6 +237,31 @@ def verify_graph_delta(base_symbols: DataFrame, base_edges: DataFrame, symbols:
     return s, e
 
 
+def stream_lines(symbols: DataFrame, edges: DataFrame, tool: str = "", tokens: int = 0, budget: int = 0, root: str = "", labeled: bool = False) -> DataFrame:
+    """Lines (part, a, b, c, line) of a graph as a stream writes them: symbols and edges in the order of their `_pos`, ids
+    in that order, a section header wherever the section changes, counts in a trailer.  labeled: with the sections' names."""
+    ids = with_row_index(symbols, "_pos", index="id").withColumn("_section", section_name(F.col("distance")))
+    before = ids.select((F.col("id") + 1).alias("id"), F.col("_section").alias("_before"))
+    starts = ids.join(before, "id", "left").filter(~F.col("_section").eqNullSafe(F.col("_before")))
+    links = stored(resolve_edges(edges, ids).select("_pos", edge_line(F.col("source_id"), F.col("target_id")).alias("line")), "links")
+    n, m = ids.count(), links.count()
+    sections = ids.groupBy("_section").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))  # a row a section
+    counted = F.concat(F.col("x._section"), F.lit(":"), F.col("x.n").cast("string")) if labeled else F.col("x.n").cast("string")
+    label = f"edges:{m}" if labeled else str(m)
+    counts = sections.agg(F.sort_array(F.collect_list(F.struct("first", "_section", "n"))).alias("xs")).select(F.posexplode_outer("xs").alias("i", "x")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", counted.alias("t")))), lambda x: x["t"]), ",").alias("t"))
+    blank, none = F.lit(0).cast("long"), F.lit("")
+    row = lambda df, part, a, b, line: df.select(F.lit(part).alias("part"), a.cast("long").alias("a"), F.lit(b).cast("long").alias("b"), none.alias("c"), line.alias("line"))
+    head = f"{MAGIC} profile=graph tool={tool}" + f" budget={budget}" * (budget > 0) + f" tokens={tokens}" * (tokens > 0) + f" pack_root={root}" * bool(root)
+    summary = F.concat(F.lit(f"##! summary symbols={n} edges={m} counts="), F.concat_ws(",", F.when(F.col("t") != "", F.col("t")), F.lit(label)))
+    return (
+        _fixed(symbols, [(0, 0, head)] + [(2, 0, "## edges [?]")] * (m > 0))
+        .unionByName(row(starts, 1, F.col("id"), 0, F.concat(F.lit("## "), "_section")))
+        .unionByName(row(ids, 1, F.col("id"), 1, symbol_line()))
+        .unionByName(row(links, 3, F.col("_pos"), 0, F.col("line")))
+        .unionByName(row(counts, 4, blank, 0, summary))
+    )
+
+
 def group_counts(symbols: DataFrame) -> DataFrame:
     """section, n: what a stream's trailer counts."""
     return symbols.groupBy(section_name(F.col("distance")).alias("section")).agg(F.count(F.lit(1)).alias("n"))

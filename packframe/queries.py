@@ -14,7 +14,9 @@ from packframe.operators import documents, graph, roots, session, tables
 from packframe.operators.ordering import with_row_index
 from packframe.plans.document import HEADER, MAGIC
 from packframe.plans.values import QUOTE_PATTERN
-from packframe.streaming.reanchor import Policy, ReanchorSession
+from packframe.sources import wire_source
+from packframe.streaming.reanchor import Policy, ReanchorSession, wire_bytes
+from packframe.streaming.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -36,6 +38,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _value(spark: SparkSession, name: str, value: object) -> DataFrame:
+    """One row: what was computed."""
+    return spark.range(1).select(F.lit(value).alias(name))
+
+
 # SQL of the scalar grammar
 
 
@@ -80,9 +87,9 @@ _LINES = {
 }
 
 _ORDER_RECORD = (
-    "'R' || chr(9) || 'o_custkey' || chr(9) || {custkey} || chr(9) || 'o_orderkey' || chr(9) || {orderkey} || chr(9) || 'o_orderpriority' || chr(9) || {priority}"
+    "'R' || chr(9) || 'o_custkey' || chr(9) || {custkey} || chr(9) || 'o_orderdate' || chr(9) || {date} || chr(9) || 'o_orderkey' || chr(9) || {orderkey} || chr(9) || 'o_orderpriority' || chr(9) || {priority}"
     " || chr(9) || 'o_orderstatus' || chr(9) || {status} || chr(9) || 'o_totalprice' || chr(9) || {price} || chr(10)"
-).format(custkey=_integer("o_custkey"), orderkey=_integer("o_orderkey"), priority=_canonical("o_orderpriority"), status=_canonical("o_orderstatus"), price=_number("o_totalprice"))
+).format(custkey=_integer("o_custkey"), date="(CASE WHEN o_orderdate IS NULL THEN '-' ELSE chr(34) || " + _time("o_orderdate") + " || chr(34) END)", orderkey=_integer("o_orderkey"), priority=_canonical("o_orderpriority"), status=_canonical("o_orderstatus"), price=_number("o_totalprice"))
 
 
 def _root(record: str, source: str) -> str:
@@ -292,27 +299,32 @@ def document_roundtrip_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_root("'R' || chr(9) || 'n_name' || chr(9) || " + _canonical("n_name") + " || chr(9) || 'n_nationkey' || chr(9) || " + _integer("n_nationkey") + " || chr(9) || 'n_regionkey' || chr(9) || " + _integer("n_regionkey") + " || chr(10)", "nation"))
 def table_root_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roots.table_root_frame(_read(spark, sf_dir, "nation"))
+    return _value(spark, "pack_root", roots.table_root(_read(spark, sf_dir, "nation")))
 
 
 @_query(_root("'R' || chr(9) || 'r_name' || chr(9) || " + _canonical("r_name") + " || chr(9) || 'r_regionkey' || chr(9) || " + _integer("r_regionkey") + " || chr(10)", "region"))
 def table_root_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roots.table_root_frame(_read(spark, sf_dir, "region"))
+    return _value(spark, "pack_root", roots.table_root(_read(spark, sf_dir, "region")))
+
+
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
-_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+def _dated(df: DataFrame) -> DataFrame:
+    """With dates as text, which compares the same everywhere."""
+    return df.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @_query(_root(_ORDER_RECORD, "orders"))
 def table_root_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roots.table_root_frame(_read(spark, sf_dir, "orders").select(*_ORDER_COLUMNS))
+    return _value(spark, "pack_root", roots.table_root(_read(spark, sf_dir, "orders").select(*_ORDER_COLUMNS)))
 
 
 @_query(_root(_ORDER_RECORD, "orders"))
 def root_row_order_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the path for large tables, from rows and columns in another order."""
     o = _read(spark, sf_dir, "orders").select(*reversed(_ORDER_COLUMNS)).orderBy(F.desc("o_totalprice"))
-    return spark.range(1).select(F.lit(roots.table_root(o, small=0)).alias("pack_root"))
+    return _value(spark, "pack_root", roots.table_root(o, small=0))
 
 
 @_query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -330,24 +342,25 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return o.filter(k % 10 != 0), after
 
 
-_BASE = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 10 <> 0)"
-_NEXT = "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'Z|z' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 10 <> 1)"
+_BASE = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 10 <> 0)"
+_NEXT = "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'Z|z' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 10 <> 1)"
 _CHANGES = f"""
 SELECT CASE WHEN b.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS op, coalesce(n.o_orderkey, b.o_orderkey) AS o_orderkey,
-       {{custkey}} AS o_custkey, n.o_orderstatus, n.o_totalprice, n.o_orderpriority
+       {{custkey}} AS o_custkey, n.o_orderstatus, n.o_totalprice, {{date}} AS o_orderdate, n.o_orderpriority
 FROM {_BASE} b FULL OUTER JOIN {_NEXT} n ON b.o_orderkey = n.o_orderkey
 WHERE b.o_orderkey IS NULL OR n.o_orderkey IS NULL OR b.o_orderstatus IS DISTINCT FROM n.o_orderstatus
 """
-_DIFF = _CHANGES.format(custkey="n.o_custkey")
+_DIFF = _CHANGES.format(custkey="n.o_custkey", date="n.o_orderdate")
+_SHOWN = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority"
 
 
 def _diffed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.diff(*_snapshots(spark, sf_dir), "o_orderkey", check=False)
 
 
-@_query(_CHANGES.format(custkey="CAST(n.o_custkey AS DOUBLE)"))
+@_query(_CHANGES.format(custkey="CAST(n.o_custkey AS DOUBLE)", date="strftime(n.o_orderdate, '%Y-%m-%d %H:%M:%S')"))
 def diff_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diffed(spark, sf_dir).withColumnRenamed("_op", "op").drop("_id").withColumn("o_custkey", F.col("o_custkey").cast("double"))
+    return _dated(_diffed(spark, sf_dir)).withColumnRenamed("_op", "op").drop("_id").withColumn("o_custkey", F.col("o_custkey").cast("double"))
 
 
 @_query(f"SELECT op, count(*) AS n FROM ({_DIFF}) GROUP BY op")
@@ -374,8 +387,8 @@ def diff_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.diff(side("min"), side("max"), "k").select(F.col("_id").alias("id"), F.col("_op").alias("op"))
 
 
-_ROW = _line(_integer("o_orderkey"), _integer("o_custkey"), _string("o_orderstatus"), _number("o_totalprice"), _string("o_orderpriority"))
-_FIELDS = "{@o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderpriority}"
+_ROW = _line(_integer("o_orderkey"), _integer("o_custkey"), _string("o_orderstatus"), _number("o_totalprice"), _time("o_orderdate"), _string("o_orderpriority"))
+_FIELDS = "{@o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority}"
 
 
 def _root_of(source: str) -> str:
@@ -392,35 +405,35 @@ def delta_lines_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.delta_lines(_diffed(spark, sf_dir), "o_orderkey", roots.table_root(base), roots.table_root(after))
 
 
-@_query(f"SELECT * FROM {_NEXT}")
+@_query(f"SELECT {_SHOWN} FROM {_NEXT}")
 def apply_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, _ = _snapshots(spark, sf_dir)
-    return D.apply_delta(base, _diffed(spark, sf_dir), "o_orderkey")
+    return _dated(D.apply_delta(base, _diffed(spark, sf_dir), "o_orderkey"))
 
 
 def _placed(lines: DataFrame, *order: str) -> DataFrame:
     return with_row_index(lines, *order, index="pos").select("pos", "line")
 
 
-@_query(f"SELECT * FROM {_NEXT}")
+@_query(f"SELECT {_SHOWN} FROM {_NEXT}")
 def decode_apply_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The delta goes over the wire before it is applied."""
     base, _ = _snapshots(spark, sf_dir)
     _, got = D.decode_delta(_placed(delta_lines_orders(spark, sf_dir), "section", "place"), base.schema)
-    return D.apply_delta(base, got, "o_orderkey")
+    return _dated(D.apply_delta(base, got, "o_orderkey"))
 
 
-@_query(f"SELECT * FROM {_BASE}")
+@_query(f"SELECT {_SHOWN} FROM {_BASE}")
 def decode_full_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, _ = _snapshots(spark, sf_dir)
-    return D.decode_full(_placed(D.full_lines(base, "o_orderkey", "orders"), "section", "place"), base.schema)
+    return _dated(D.decode_full(_placed(D.full_lines(base, "o_orderkey", "orders"), "section", "place"), base.schema))
 
 
 @_query(_root(_ORDER_RECORD, _NEXT))
 def verify_orders_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, after = _snapshots(spark, sf_dir)
     got = D.verify_delta(base, _diffed(spark, sf_dir), "o_orderkey", roots.table_root(base), roots.table_root(after))
-    return roots.table_root_frame(got)
+    return _value(spark, "pack_root", roots.table_root(got))
 
 
 @_query(
@@ -512,7 +525,7 @@ _KINDS_SQL = "k AS (SELECT qualifiedName, CASE kind WHEN 'package' THEN 'pkg' WH
 
 @_query(f"WITH s AS ({_SYMBOLS_SQL}), e AS ({_EDGES_SQL}), {_KINDS_SQL} " + _GRAPH_ROOT)
 def graph_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roots.graph_root_frame(_symbols(spark, sf_dir), _edges(spark, sf_dir))
+    return _value(spark, "pack_root", roots.graph_root(_symbols(spark, sf_dir), _edges(spark, sf_dir)))
 
 
 def _later_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -607,7 +620,8 @@ def session_bare_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("session", "call", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_TURNS = 7
+#: Days up to which a turn's snapshot goes; the last is the whole table.
+_UNTIL = (5, 10, 15, 20, 25, 366)
 
 
 def _days(spark: SparkSession, sf_dir: str, day: int) -> DataFrame:
@@ -618,31 +632,57 @@ def _days(spark: SparkSession, sf_dir: str, day: int) -> DataFrame:
 
 
 def _reanchored(spark: SparkSession, sf_dir: str, policy: Policy) -> DataFrame:
-    from packframe.streaming.storage import new_folder
-
     held = ReanchorSession(spark, new_folder(spark, "reanchor"), "user_id", "users", policy=policy)
-    held.start(_days(spark, sf_dir, 1))
-    flags = [held.next(_days(spark, sf_dir, turn + 1), turn)[1] for turn in range(1, _TURNS)]
-    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(i + 1).cast("long").alias("turn"), F.lit(f).alias("is_full")) for i, f in enumerate(flags)))))
+    held.start(_days(spark, sf_dir, _UNTIL[0]))
+    out = []
+    for turn, day in enumerate(_UNTIL[1:], 1):
+        lines, is_full = held.next(_days(spark, sf_dir, day), turn)
+        out.append((turn, is_full, wire_bytes(lines)))
+    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(t).cast("long").alias("turn"), F.lit(f).alias("is_full"), F.lit(n).cast("long").alias("wire_bytes")) for t, f, n in out))))
+
+
+_USER_FIELDS = "]{@user_id,event_type,value}"
+
+
+def _reanchor_sql(full: str) -> str:
+    """Wire sizes of each turn by the grammar, folded over the turns; full: when a turn is sent in full."""
+    line = _line("CAST(user_id AS VARCHAR)", _string("event_type"), _number("value"))
+    root = len("sha256:") + 64
+    delta_head, full_head = (len(x) + 1 for x in (f"{MAGIC} profile=generic delta=true base_root={'x' * root} new_root={'x' * root} key=user_id", f"{MAGIC} profile=generic pack_root={'x' * root} key=user_id"))
+    return f"""
+WITH RECURSIVE t(turn, until) AS (VALUES {', '.join(f'({i}, {d})' for i, d in enumerate(_UNTIL))}),
+s AS (SELECT turn, user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events JOIN t ON dayofyear(ts) <= until GROUP BY turn, user_id),
+r AS (SELECT turn, user_id, strlen({line}) + 1 AS n, {line} AS line FROM s),
+f AS (SELECT turn, {full_head} + strlen('## users [' || count(*) || '{_USER_FIELDS}') + 1 + sum(n) AS full_bytes FROM r GROUP BY turn),
+c AS (SELECT b.turn, CASE WHEN a.user_id IS NULL THEN 'added' ELSE 'changed' END AS op, b.n FROM r b LEFT JOIN r a ON a.turn = b.turn - 1 AND a.user_id = b.user_id WHERE b.turn > 0 AND b.line IS DISTINCT FROM a.line),
+g AS (SELECT turn, op, sum(n) + strlen('## ' || op || ' [' || count(*) || '{_USER_FIELDS}') + 1 AS n FROM c GROUP BY turn, op),
+d AS (SELECT f.turn, full_bytes, {delta_head} + coalesce(sum(g.n), 0) AS delta_bytes FROM f LEFT JOIN g ON g.turn = f.turn WHERE f.turn > 0 GROUP BY f.turn, full_bytes),
+w AS (
+  SELECT 0 AS turn, CAST(0 AS BIGINT) AS total, false AS is_full, CAST(0 AS BIGINT) AS wire_bytes
+  UNION ALL
+  SELECT d.turn, CASE WHEN {full} THEN 0 ELSE total + delta_bytes END, {full}, CASE WHEN {full} THEN full_bytes ELSE delta_bytes END FROM w JOIN d ON d.turn = w.turn + 1
+)
+SELECT CAST(turn AS BIGINT) AS turn, is_full, CAST(wire_bytes AS BIGINT) AS wire_bytes FROM w WHERE turn > 0
+"""
 
 
-@_query(f"SELECT turn, turn % 3 = 0 AS is_full FROM range(1, {_TURNS}) t(turn)")
+@_query(_reanchor_sql("d.turn % 3 = 0"))
 def reanchor_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reanchored(spark, sf_dir, Policy.fixed(3))
 
 
-@_query()
+@_query(_reanchor_sql("total + delta_bytes >= full_bytes"))
 def reanchor_size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reanchored(spark, sf_dir, Policy.size_guard())
 
 
 @_query(
-    f"SELECT sum(strlen({_LINES['customer'][1]}) + 1)::BIGINT AS wire_bytes, sum(strlen('{{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || ',\"c_mktsegment\":\"' || c_mktsegment || '\"}}'))::BIGINT AS json_bytes FROM customer"
+    f"SELECT sum(strlen({_LINES['customer'][1]}) + 1)::BIGINT AS wire_bytes, sum(strlen('{{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || ',\"c_acctbal\":' || c_acctbal || ',\"c_mktsegment\":\"' || c_mktsegment || '\"}}'))::BIGINT AS json_bytes FROM customer"
 )
 def wire_vs_json_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     wire = F.concat_ws("|", *(P.format_scalar(F.col(f.name), f.dataType) for f in c.schema.fields))
-    json = F.to_json(F.struct("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    json = F.to_json(F.struct(*c.columns))
     return c.agg(F.sum(P.wire_bytes(wire) + 1).alias("wire_bytes"), F.sum(P.wire_bytes(json)).alias("json_bytes"))
 
 

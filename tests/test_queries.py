@@ -43,7 +43,7 @@ def test_query(spark, db, name):
 
 
 def test_every_query_has_sql():
-    assert set(Q.queries()) - set(Q.oracle_sql()) == {"reanchor_size_guard"}
+    assert set(Q.queries()) - set(Q.oracle_sql()) == set()
 
 
 def test_without_the_training_data_operators(tmp_path):
