@@ -686,6 +686,252 @@ def wire_vs_json_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.sum(P.wire_bytes(wire) + 1).alias("wire_bytes"), F.sum(P.wire_bytes(json)).alias("json_bytes"))
 
 
+# layouts of nested columns
+
+_ROWS = 'CAST(i AS BIGINT) AS "row", CAST(sub AS INTEGER) AS sub'
+
+
+def _lines_of(df: DataFrame, order: str, name: str, **how: object) -> DataFrame:
+    return tables.encode_table(df, [order], name, **how).filter("row >= -1").select("row", "sub", "line")
+
+
+@_query(
+    f"WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) SELECT {_ROWS}, line FROM ("
+    " SELECT -1 AS i, 0 AS sub, '## customers [' || count(*) || ']{c_custkey,info}' AS line FROM c"
+    " UNION ALL SELECT i, 0, '@' || i || ' ' || c_custkey || '|^' || CASE WHEN i = 0 THEN '{c_name,c_acctbal,c_mktsegment}' ELSE '' END FROM c"
+    f" UNION ALL SELECT i, 1, {_line(_string('c_name'), _number('c_acctbal'), _string('c_mktsegment'))} FROM c)"
+)
+def inline_schema_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A struct column without path columns: its fields are named in the first row only."""
+    c = _read(spark, sf_dir, "customer")
+    return _lines_of(c.select("c_custkey", F.struct("c_name", "c_acctbal", "c_mktsegment").alias("info")), "c_custkey", "customers", flatten=False)
+
+
+@_query(
+    "WITH r AS (SELECT r_regionkey, r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS i FROM region), "
+    "n AS (SELECT i, n_nationkey, n_name, row_number() OVER (PARTITION BY i ORDER BY n_nationkey) AS k, count(*) OVER (PARTITION BY i) AS n FROM r JOIN nation ON n_regionkey = r_regionkey) "
+    f"SELECT {_ROWS}, line FROM (SELECT -1 AS i, 0 AS sub, '## regions [' || count(*) || ']{{r_regionkey,r_name,nations}}' AS line FROM r"
+    f" UNION ALL SELECT i, 0, '@' || i || ' ' || r_regionkey || '|' || {_string('r_name')} || '|^' FROM r"
+    " UNION ALL SELECT DISTINCT i, 1, '.nations [' || n || ']' || CASE WHEN i = 0 THEN '{n_nationkey,n_name}' ELSE '' END FROM n"
+    f" UNION ALL SELECT i, 1 + k, '    ' || n_nationkey || '|' || {_string('n_name')} FROM n)"
+)
+def shared_schema_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of rows: the first one declares the fields for all."""
+    n = _read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
+    df = _read(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).select("r_regionkey", "r_name", "nations")
+    return _lines_of(df, "r_regionkey", "regions")
+
+
+_CUSTOMERS_SQL = (
+    "SELECT c_custkey, c_nationkey, c_mktsegment, ks, ps, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer LEFT JOIN"
+    " (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ks, list(o_orderpriority ORDER BY o_orderkey) AS ps FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey"
+)
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a list of their orders, null for some, and a struct of two."""
+    o = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    c = _read(spark, sf_dir, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return c.select("c_custkey", "keys", F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).alias("info"))
+
+
+@_query(
+    f"WITH c AS ({_CUSTOMERS_SQL}) SELECT {_ROWS}, line FROM (SELECT -1 AS i, 0 AS sub, '## customers [' || count(*) || ']{{c_custkey,keys,info}}' AS line FROM c"
+    " UNION ALL SELECT i, 0, '@' || i || ' ' || c_custkey || CASE WHEN ks IS NULL THEN '|-|^' ELSE '|^|^' END FROM c"
+    " UNION ALL SELECT i, 1, '.keys [' || len(ks) || ']: ' || array_to_string(ks, ',') FROM c WHERE ks IS NOT NULL"
+    f" UNION ALL SELECT i, CASE WHEN ks IS NULL THEN 0 ELSE 1 END + k, CASE k WHEN 1 THEN '.info {{}}' WHEN 2 THEN '    segment=' || {_string('c_mktsegment')} ELSE '    nation=' || c_nationkey END FROM c, range(1, 4) t(k))"
+)
+def attachments_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays and structs as attachments behind their rows."""
+    return _lines_of(_customers(spark, sf_dir), "c_custkey", "customers", flatten=False)
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY n_name) - 1 AS \"row\", {_line(_string('n_name'), _integer('n_nationkey'), _integer('n_regionkey'))} AS line FROM nation UNION ALL SELECT -1, '## nations [' || count(*) || ':]{{n_name,n_nationkey,n_regionkey}}' FROM nation".replace("{{", "{").replace("}}", "}"))
+def keyed_table_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of rows as a keyed table."""
+    n = _read(spark, sf_dir, "nation").select("n_name", "n_nationkey", "n_regionkey")
+    return _lines_of(n, "n_name", "nations", keyed=True).select("row", "line")
+
+
+# documents: nested values, expanded arrays, counts and trailers
+
+_NESTED_JSON = "'{\"id\":' || event_id || ',\"items\":[1,{\"k\":' || user_id || ',\"t\":[\"' || event_type || '\",null]},[],[' || user_id || ',2]],\"o\":{\"a\":{\"b\":' || user_id || '}}}'"
+
+
+def _nested_json() -> Column:
+    user = F.col("user_id").cast("string")
+    return F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"items":[1,{"k":'), user, F.lit(',"t":["'), "event_type", F.lit('",null]},[],['), user, F.lit(',2]],"o":{"a":{"b":'), user, F.lit("}}}"))
+
+
+@_query(
+    "SELECT event_id, 'GCF profile=generic' || chr(10) || 'id=' || event_id || chr(10) || '## items [4]' || chr(10) || '@0 =1' || chr(10) || '@1 {}' || chr(10) || '  k=' || user_id || chr(10)"
+    f" || '  t[2]: ' || {_string('event_type')} || ',-' || chr(10) || '@2 [0]' || chr(10) || '@3 [2]: ' || user_id || ',2' || chr(10) || '## o' || chr(10) || '  ## a' || chr(10) || '    b=' || user_id || chr(10) AS wire FROM events"
+)
+def document_expanded_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed arrays are expanded item by item."""
+    return _read(spark, sf_dir, "events").select("event_id", documents.to_wire(_nested_json()).alias("wire"))
+
+
+@_query(f"SELECT event_id, {_NESTED_JSON} AS json FROM events")
+def document_expanded_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events").select("event_id", documents.to_wire(_nested_json()).alias("wire"))
+    return e.select("event_id", documents.from_wire(F.col("wire")).alias("json"))
+
+
+_LIST_JSON = "'{\"name\":\"' || r_name || '\",\"nations\":[' || string_agg('{\"name\":\"' || n_name || '\",\"tags\":[' || n_nationkey || ',\"x|y\"],\"at\":{\"key\":' || n_nationkey || '}}', ',' ORDER BY n_nationkey) || ']}'"
+
+
+@_query(f"SELECT r_regionkey, {_LIST_JSON} AS json FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+def document_attachments_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables in documents, with arrays as attachments and structs as path columns."""
+    key = F.col("n_nationkey").cast("string")
+    one = F.concat(F.lit('{"name":"'), "n_name", F.lit('","tags":['), key, F.lit(',"x|y"],"at":{"key":'), key, F.lit("}}"))
+    n = _read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", one.alias("t")))).alias("xs"))
+    r = _read(spark, sf_dir, "region").join(n, F.col("n_regionkey") == F.col("r_regionkey"))
+    json = F.concat(F.lit('{"name":"'), "r_name", F.lit('","nations":['), F.array_join(F.transform("xs", lambda x: x["t"]), ","), F.lit("]}"))
+    wire = r.select("r_regionkey", documents.to_wire(json).alias("wire"))
+    return wire.select("r_regionkey", documents.from_wire(F.col("wire")).alias("json"))
+
+
+@_query(
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 2 AND o_orderkey % 3 <> 0 THEN 'count_mismatch' WHEN o_orderkey % 5 = 2 THEN 'invalid_count' END AS error,"
+    " CASE WHEN o_orderkey % 5 < 2 AND o_orderkey % 3 = 0 OR o_orderkey % 5 > 2 THEN '{\"t\":[{\"a\":1,\"b\":' || o_custkey || '},{\"a\":2,\"b\":null}]}' END AS json FROM orders"
+)
+def document_counts_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in headers and in trailers are held against what is there; PERMISSIVE gives codes."""
+    k = F.col("o_orderkey")
+    trailer = F.concat(F.lit("##! summary counts="), (F.lit(2) + k % 3).cast("string"), F.lit("\n"))
+    count = F.when(k % 5 == 0, "?").when(k % 5 == 1, (2 + k % 3).cast("string")).when(k % 5 == 2, "02").otherwise("2")
+    wire = F.concat(F.lit(f"{HEADER}\n## t ["), count, F.lit("]{a,b}\n1|"), F.col("o_custkey").cast("string"), F.lit("\n2|-\n"), F.when(k % 5 == 0, trailer).otherwise(""))
+    got = _read(spark, sf_dir, "orders").select("o_orderkey", documents.from_wire(wire, "PERMISSIVE").alias("r"))
+    return got.select("o_orderkey", F.col("r.error").alias("error"), F.col("r.text").alias("json"))
+
+
+@_query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 4 IN (0, 1) THEN o_orderkey END AS DOUBLE) AS n FROM orders")
+def count_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What counts may look like."""
+    k, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    shown = F.when(k % 4 == 2, F.concat(F.lit("0"), text)).when(k % 4 == 3, F.concat(F.lit("+"), text)).otherwise(text)
+    return _read(spark, sf_dir, "orders").select("o_orderkey", P.count_value(shown).cast("double").alias("n"))
+
+
+@_query(f"SELECT c_custkey, 'c.' || c_custkey AS name, 'function' AS kind, CAST(printf('%.2f', c_acctbal) AS DOUBLE) AS score, CAST(c_nationkey AS DOUBLE) AS distance, CAST(c_custkey AS DOUBLE) AS budget FROM customer WHERE c_nationkey IS NOT NULL")
+def graph_payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph a row: JSON form to wire text and back."""
+    symbol = F.struct(F.concat(F.lit("c."), F.col("c_custkey").cast("string")).alias("qualifiedName"), F.lit("function").alias("kind"), F.col("c_acctbal").alias("score"), F.lit("geo").alias("provenance"), F.col("c_nationkey").alias("distance"))
+    json = F.to_json(F.struct(F.lit("t").alias("tool"), F.col("c_custkey").alias("tokenBudget"), F.array(symbol).alias("symbols")))
+    c = _read(spark, sf_dir, "customer").filter("c_nationkey is not null").select("c_custkey", documents.graph_to_wire(json).alias("wire"))
+    c = c.select("c_custkey", documents.from_wire(F.col("wire")).alias("j"))
+    at = lambda path: F.get_json_object("j", path)
+    return c.select("c_custkey", at("$.symbols[0].qualifiedName").alias("name"), at("$.symbols[0].kind").alias("kind"), at("$.symbols[0].score").cast("double").alias("score"), at("$.symbols[0].distance").cast("double").alias("distance"), at("$.tokenBudget").cast("double").alias("budget"))
+
+
+# graph headers, deltas of edges, streams
+
+
+@_query(_GRAPH_SQL + "SELECT 'geo' AS tool, CAST(9 AS BIGINT) AS budget, CAST(0 AS BIGINT) AS tokens, (SELECT count(*) FROM i) AS symbols, (SELECT count(*) FROM l) AS edges")
+def graph_decode_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = graph.encode_graph(_symbols(spark, sf_dir), _edges(spark, sf_dir), "geo", budget=9)
+    head, symbols, edges = graph.decode_graph(_placed(lines, "part", "a", "b", "c"))
+    return spark.range(1).select(F.lit(head["tool"]).alias("tool"), F.lit(head["tokenBudget"]).cast("long").alias("budget"), F.lit(head["tokensUsed"]).cast("long").alias("tokens"), F.lit(symbols.count()).cast("long").alias("symbols"), F.lit(edges.count()).cast("long").alias("edges"))
+
+
+_LATER_EDGES_SQL = f"SELECT source, CASE WHEN source LIKE 'c.%7' THEN 'r.0' ELSE target END AS target, edgeType FROM ({_EDGES_SQL}) WHERE source NOT LIKE 'c.%3'"
+
+
+def _later_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir).filter("source not like 'c.%3'")
+    return e.withColumn("target", F.when(F.col("source").like("c.%7"), F.lit("r.0")).otherwise(F.col("target")))
+
+
+@_query(
+    f"WITH e AS (SELECT source, target, edgeType FROM ({_EDGES_SQL})), f AS ({_LATER_EDGES_SQL}) SELECT 'removed' AS op, * FROM (SELECT * FROM e EXCEPT SELECT * FROM f) UNION ALL SELECT 'added', * FROM (SELECT * FROM f EXCEPT SELECT * FROM e)"
+)
+def graph_delta_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delta of edges over the wire."""
+    s = _symbols(spark, sf_dir)
+    changes = graph.edge_diff(_edges(spark, sf_dir), _later_edges(spark, sf_dir))
+    _, _, got = graph.decode_delta(_placed(graph.delta_lines(graph.symbol_diff(s, s), changes, "geo"), "part", "a", "b", "c"))
+    return got.select(F.col("_op").alias("op"), "source", "target", "edgeType")
+
+
+_STREAM_SQL = (
+    f"WITH s AS (SELECT *, row_number() OVER (ORDER BY hash_key) - 1 AS id FROM (SELECT *, md5(qualifiedName) AS hash_key FROM ({_SYMBOLS_SQL}))),"
+    " x AS (SELECT *, CASE distance WHEN 0 THEN 'targets' WHEN 1 THEN 'related' ELSE 'extended' END AS section, CASE kind WHEN 'package' THEN 'pkg' WHEN 'function' THEN 'fn' ELSE kind END AS short FROM s),"
+    " y AS (SELECT *, lag(section) OVER (ORDER BY id) AS before FROM x),"
+    f" e AS (SELECT e.*, a.id AS a, b.id AS b, md5(source) AS k FROM ({_EDGES_SQL}) e JOIN s a ON a.qualifiedName = source JOIN s b ON b.qualifiedName = target)"
+)
+
+
+@_query(
+    _STREAM_SQL + f" SELECT 0 AS part, CAST(0 AS BIGINT) AS a, '{MAGIC} profile=graph tool=geo' AS line UNION ALL SELECT 1, id, '## ' || section FROM y WHERE before IS DISTINCT FROM section"
+    " UNION ALL SELECT 1, id, '@' || id || ' ' || short || ' ' || qualifiedName || ' ' || printf('%.2f', score) || ' geo' FROM x UNION ALL SELECT 2, 0, '## edges [?]'"
+    " UNION ALL SELECT 3, row_number() OVER (ORDER BY k) - 1, '@' || b || '<@' || a || ' ' || edgeType || CASE WHEN status IN ('', 'unchanged') THEN '' ELSE ' ' || status END FROM e"
+    " UNION ALL SELECT 4, 0, '##! summary symbols=' || (SELECT count(*) FROM s) || ' edges=' || (SELECT count(*) FROM e) || ' counts=' || (SELECT string_agg(section || ':' || n, ',' ORDER BY f) FROM (SELECT section, count(*) AS n, min(id) AS f FROM x GROUP BY section)) || ',edges:' || (SELECT count(*) FROM e)"
+)
+def graph_stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph as a stream writes it: in order of arrival (here, of a hash), with deferred counts."""
+    symbols = _symbols(spark, sf_dir).withColumn("_pos", F.md5("qualifiedName"))
+    names = symbols.select("qualifiedName")
+    edges = _edges(spark, sf_dir).withColumn("_k", F.md5("source"))
+    known = edges.join(names.withColumnRenamed("qualifiedName", "source"), "source", "left_semi").join(names.withColumnRenamed("qualifiedName", "target"), "target", "left_semi")
+    return graph.stream_lines(symbols, with_row_index(known, "_k", index="_pos"), "geo", labeled=True).select("part", "a", "line")
+
+
+@_query(f"SELECT {_SHOWN} FROM orders")
+def sink_roundtrip_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table through files: written by Spark's tasks, counted in trailers, checked and read line by line."""
+    o = _read(spark, sf_dir, "orders")
+    path = new_folder(spark, "orders")
+    wire_source.write_table(o, path, "orders")
+    return _dated(wire_source.read_table(spark, path, o.schema))
+
+
+@_query(
+    f"SELECT * FROM (SELECT CAST(0 AS BIGINT) AS n, '{HEADER}' AS line UNION ALL SELECT 1, '## nations [?]{{n_nationkey,n_name,n_regionkey}}' UNION ALL SELECT row_number() OVER (ORDER BY n_nationkey) + 1, {_LINES['nation'][1]} FROM nation"
+    " UNION ALL SELECT 2 + (SELECT count(*) FROM nation), '##! summary counts=' || (SELECT count(*) FROM nation))"
+)
+def stream_table_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of one file of a table that is streamed out."""
+    lines = wire_source.wire_lines(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").repartitionByRange(1, "n_nationkey").sortWithinPartitions("n_nationkey"), "nations")
+    return lines.select(F.monotonically_increasing_id().alias("n"), "line")
+
+
+@_query(
+    "SELECT CASE WHEN c_custkey % 97 = 1 THEN 'row_width_mismatch' WHEN c_custkey % 97 = 2 THEN 'invalid_line' END AS error, count(*) AS n, count(*) FILTER (WHERE c_custkey % 97 NOT IN (1, 2)) AS read FROM customer GROUP BY ALL"
+)
+def read_permissive_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged rows get codes; sound ones are read."""
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    k = F.col("c_custkey")
+    row = F.concat_ws("|", F.when(k % 97 == 2, "x").otherwise(P.format_scalar(k, c.schema["c_custkey"].dataType)), P.format_scalar(F.col("c_name"), c.schema["c_name"].dataType), F.when(k % 97 != 1, P.number_text(F.col("c_acctbal"))))
+    path = new_folder(spark, "customers")
+    head = spark.range(1).select(F.lit(f"{HEADER}\n## rows [{c.count()}]{{c_custkey,c_name,c_acctbal}}").alias("value"))
+    # one file: its header in front of its rows
+    head.withColumn("k", F.lit(-1).cast("long")).unionByName(c.select(row.alias("value"), k.alias("k"))).repartitionByRange(1, "k").sortWithinPartitions("k").select("value").write.text(path)
+    got = wire_source.read_table(spark, path, c.schema, mode="PERMISSIVE")
+    return got.groupBy(F.col("_error_code").alias("error")).agg(F.count(F.lit(1)).alias("n"), F.count("c_custkey").alias("read"))
+
+
+# session wires with edges
+
+
+@_query(
+    f"WITH f AS {_FIRSTS}, i AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY f) - 1 AS id FROM f), c AS {_CALLS},"
+    " n AS (SELECT session, call, count(*) AS n, count(*) FILTER (WHERE event_id % 3 = 0) AS m FROM c GROUP BY ALL)"
+    f" SELECT session, call, 0 AS part, CAST(0 AS BIGINT) AS a, '{MAGIC} profile=graph tool=log symbols=' || n || CASE WHEN m > 0 THEN ' edges=' || m ELSE '' END || ' session=true' AS line FROM n"
+    " UNION ALL SELECT session, call, 1, 1, '## targets' FROM n"
+    " UNION ALL SELECT session, call, 2, 0, '## edges [' || m || ']' FROM n WHERE m > 0"
+    " UNION ALL SELECT c.session, c.call, 3, c.event_id, '@' || i.id || '<@' || i.id || ' self new' FROM c JOIN i ON c.session = i.session AND c.event_type = i.qualifiedName WHERE c.event_id % 3 = 0"
+)
+def session_lines_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and edges of the sessions' wires; symbols are in session_bare_references."""
+    calls = _calls(spark, sf_dir)
+    edges = calls.filter("_pos % 3 = 0").select("session", "call", "_pos", F.col("qualifiedName").alias("source"), F.col("qualifiedName").alias("target"), F.lit("self").alias("edgeType"), F.lit("new").alias("status"))
+    lines = session.session_lines(calls, edges, "log")
+    return lines.filter("part <> 1 or line like '## %'").select("session", "call", "part", "a", "line")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
