@@ -36,6 +36,8 @@ END_TOKEN = 1
 #: Words and bytes of words that one generation of a worker's memory holds; two generations are kept.
 MEMORY, MEMORY_BYTES = 400_000, 32 << 20
 
+#: Words of letters that are tokenised in one call.
+_TOGETHER = 500
 #: str.split() takes these for blanks, the tokenizer does not.
 _NO_BLANKS = re.compile("[\x1c-\x1f]").search
 #: Without these a text is in NFC and lower() works letter by letter, as the tokenizer's own normalisation does.
@@ -62,14 +64,28 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters alone, many of them to a call: tokens are told apart by the word they belong to."""
+        out: list[bytes] = []
+        for at in range(0, len(words), _TOGETHER):
+            part = words[at : at + _TOGETHER]
+            got = self.inner.encode(" ".join(part), add_special_tokens=False)
+            ids, of = array("I", got.ids).tobytes(), np.array(got.word_ids, np.int64)
+            cuts = (4 * np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]))).tolist()
+            out += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)] if len(cuts) == len(part) + 1 else self._ids(part)
+        return out
+
     def _learn(self, missing: set[str]) -> None:
         """Puts words into the memory.  Marks behind letters are a token sequence of their own: both parts are looked up."""
-        ends = {w: base for w in missing if (base := w.rstrip(string.punctuation)) != w and base.isalpha() and not _NOT_PLAIN(base)}
+        ends = {w: base for w in missing if (base := w.rstrip(string.punctuation)) != w and base.isalpha() and (base.isascii() or not _NOT_PLAIN(base))}
         parts = (missing - ends.keys()).union(ends.values(), (w[len(base) :] for w, base in ends.items()))
         for w in parts.difference(self.new).intersection(self.old):
             self.new[w] = self.old[w]
-        unknown = list(parts.difference(self.new))
-        self.new.update(zip(unknown, self._ids(unknown), strict=True))
+        unknown = parts.difference(self.new)
+        letters = [w for w in unknown if w.isalpha() and (w.isascii() or not _NOT_PLAIN(w))]
+        others = list(unknown.difference(letters))
+        self.new.update(zip(letters, self._word_ids(letters), strict=True))
+        self.new.update(zip(others, self._ids(others), strict=True))
         for w, base in ends.items():
             self.new[w] = self.new[base] + self.new[w[len(base) :]]
 
