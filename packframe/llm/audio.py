@@ -1,18 +1,20 @@
 """Operator 5, media columns: MPEG audio.
 
-The reader walks an MPEG audio stream frame by frame: it skips ID3v2 and reads ID3v1 tags, finds the next sound
-frame header where one is lost (a candidate counts only if a header of the same stream, a tag or the end follows
-it), reads the Xing/Info table of variable bitrates, verifies the CRC-16 of protected Layer III frames, and gives
-the exact number of samples and the byte offset of every frame.
+The reader walks an MPEG audio stream frame by frame: it reads ID3v2 (2.2 to 2.4, with extended headers, footers and
+unsynchronisation), ID3v1 and APE tags, finds the next sound frame header where one is lost (a candidate counts only if
+a header of the same stream, a tag or the end follows it), reads the Xing/Info or VBRI table of variable bitrates,
+verifies the CRC-16 of protected frames of all layers, and gives the exact number of samples, the duration as a
+fraction, and the byte offset of every frame.
 
 The writer stores any bytes losslessly in a valid stream: MPEG-1 Layer III, mono, 32 kHz, each frame protected,
 without main data of its own (silence), the payload in the frames' ancillary bytes.  All frames but the last have
 1440 bytes; the last one takes the smallest bitrate that holds the rest.  An ID3v2 tag names the payload's size,
-a Xing frame the number of frames and bytes and a seek table.  Where payload would stand in the place of an ID3v1 tag
-and look like one, an empty frame follows.  Reading columns fails if a payload is shorter than its tag says.
+a Xing frame the number of frames and bytes and a seek table.  Where payload would stand in the place of an ID3v1 or APE
+tag and look like one, an empty frame follows.  Reading columns fails if a payload is shorter than its tag says.
 
 Defined results: a null or empty text is 64 zero bytes; a null media value has null columns; bytes without any
-frame have 0 frames and samples; other columns are ignored; repeated rows are repeated; an empty table stays empty.
+frame have 0 frames and samples, and last 0/1 s; very long texts are one stream each, worked on alone; other columns are
+ignored, whatever their names; repeated rows are repeated; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -45,6 +47,9 @@ _V2 = {
 _RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 _NAMES = {3: "1", 2: "2", 0: "2.5"}
 
+#: Bits of an allocation by subband in Layer II: (number of subbands, bits) runs of tables B.2a to d and of the low rates.
+_ALLOCATIONS = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
+
 _SIDE = 17
 _OVERHEAD = 4 + 2 + _SIDE
 _ALIGN = 64
@@ -89,6 +94,47 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def _allocation(version: int, hz: int, kbit: int) -> list[int]:
+    """Bits of each subband's allocation in Layer II, by the bitrate of one channel."""
+    if version != 3:
+        name = "low"
+    elif kbit < 56:
+        name = "d" if hz == 32000 else "c"
+    else:
+        name = "b" if kbit >= 96 and hz != 48000 else "a"
+    return [bits for count, bits in _ALLOCATIONS[name] for _ in range(count)]
+
+
+def protected_bits(head: bytes, body: bytes) -> int:
+    """How many bits behind the checksum of a Layer I or II frame it covers: the allocations and, in Layer II, the
+    selections of scale factors."""
+    version, layer, _, hz, channels, *_ = parse_header(head)
+    mode, extension = head[3] >> 6, head[3] >> 4 & 3
+    each = [4] * 32 if layer == 1 else _allocation(version, hz, (_V1 if version == 3 else _V2)[2][head[2] >> 4] // channels)
+    bound = 4 * extension + 4 if mode == 1 else len(each)  # from here on both channels share an allocation
+    widths = [bits for k, bits in enumerate(each) for _ in range(channels if k < bound else 1)]
+    total = sum(widths)
+    if layer == 1:
+        return total
+    value, size = int.from_bytes(body, "big"), 8 * len(body)
+    at, used = 0, 0
+    for k, bits in enumerate(each):
+        for _ in range(channels if k < bound else 1):
+            at += bits
+            if at <= size and value >> (size - at) & ((1 << bits) - 1):
+                used += 1 if k < bound else channels
+    return total + 2 * used
+
+
+def crc16_bits(data: bytes, bits: int) -> int:
+    """crc16() of the first bits of data."""
+    c = crc16(bytes(data[: bits // 8]))
+    for i in range(bits // 8 * 8, bits):
+        bit = data[i // 8] >> (7 - i % 8) & 1
+        c = (c << 1 ^ (0x8005 if c >> 15 ^ bit else 0)) & 0xFFFF
+    return c
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -126,7 +172,8 @@ def write_audio(payload: bytes) -> bytes:
                 frames[0, _OVERHEAD : _OVERHEAD + len(own)] = own
             parts.append(frames.tobytes())
     ends = [full * (_OVERHEAD + _ROOMS[14]), sum(map(len, parts))]  # of the full frames and of the payload
-    if b"".join(parts[-2:])[-128:-125] == b"TAG":
+    last = b"".join(parts[-2:])[-128:]
+    if last[:3] == b"TAG" or last[-32:-24] == b"APETAGEX":
         empty = _frame_head(1)
         parts.append((empty + struct.pack(">H", crc16(empty[2:] + bytes(_SIDE)))).ljust(_OVERHEAD + _ROOMS[1], b"\0"))
     sound = b"".join(parts)
@@ -139,29 +186,101 @@ def write_audio(payload: bytes) -> bytes:
     return _id3({"payload_bytes": str(len(payload))}) + xing + sound
 
 
+def _big(raw: bytes, bits: int = 8) -> int:
+    return functools.reduce(lambda a, b: a << bits | b & ((1 << bits) - 1), raw, 0)
+
+
+def _text(value: bytes) -> str:
+    return value[1:].decode({1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(value[0], "latin-1"), "replace")
+
+
+def _id3v2(media: bytes, start: int, fields: dict[str, str]) -> int:
+    """Reads the text frames of the tag at `start`; where it ends."""
+    version, flags = media[start + 3], media[start + 5]
+    stop = start + 10 + _big(media[start + 6 : start + 10], 7)
+    body = media[start + 10 : stop]
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    at = 0
+    if flags & 0x40 and version == 3:
+        at = 4 + _big(body[:4])
+    elif flags & 0x40 and version == 4:
+        at = _big(body[:4], 7)
+    wide = 3 if version == 2 else 4  # bytes of names and sizes
+    lead = 2 * wide + (0 if version == 2 else 2)
+    while at + lead <= len(body) and body[at : at + wide].strip(b"\0"):
+        name, n = body[at : at + wide].decode("latin-1"), _big(body[at + wide : at + 2 * wide], 7 if version == 4 else 8)
+        value, marks = body[at + lead : at + lead + n], body[at + 9] if version == 4 else 0
+        if marks & 1:  # the length of the data stands in front of it
+            value = value[4:]
+        if marks & 2 or (version == 4 and flags & 0x80 and not marks & 1):
+            value = value.replace(b"\xff\x00", b"\xff")
+        if name[:1] == "T" and value:
+            key, _, rest = _text(value).partition("\0")
+            own = name in ("TXXX", "TXX")
+            fields[f"TXXX:{key}" if own else name] = rest.rstrip("\0") if own else _text(value).rstrip("\0")
+        at += lead + n
+    return min(len(media), stop + 10 * bool(version == 4 and flags & 0x10))
+
+
+def _ape(media: bytes, at: int, stop: int, count: int, fields: dict[str, str]) -> None:
+    for _ in range(count):
+        if at + 9 > stop:
+            return
+        n, kind = struct.unpack_from("<II", media, at)
+        end = media.find(b"\0", at + 8, stop)
+        if end < 0:
+            return
+        if kind >> 1 & 3 == 0:  # text
+            fields[f"APE:{media[at + 8 : end].decode('latin-1')}"] = media[end + 1 : min(stop, end + 1 + n)].decode("utf-8", "replace")
+        at = end + 1 + n
+
+
 def _tags(media: bytes) -> tuple[dict[str, str], int, int]:
-    """Fields of ID3v2 and ID3v1 tags; where the frames may start and must end."""
+    """Fields of ID3v2, ID3v1 and APE tags; where the frames may start and must end."""
     fields, start, end = {}, 0, len(media)
-    while media[start : start + 3] == b"ID3" and len(media) >= start + 10:
-        size = functools.reduce(lambda a, b: a << 7 | b & 127, media[start + 6 : start + 10], 0)
-        at, stop = start + 10, min(len(media), start + 10 + size)
-        while at + 10 <= stop and media[at : at + 4].strip(b"\0"):
-            name, raw = media[at : at + 4].decode("latin-1"), media[at + 4 : at + 8]
-            n = functools.reduce(lambda a, b: a << 7 | b & 127, raw, 0) if media[start + 3] == 4 else int.from_bytes(raw, "big")
-            value = media[at + 10 : min(stop, at + 10 + n)]
-            if name[:1] == "T" and value:
-                text = value[1:].decode({1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(value[0], "latin-1"), "replace")
-                key, _, rest = text.partition("\0")
-                fields[f"TXXX:{key}" if name == "TXXX" else name] = rest if name == "TXXX" else text.rstrip("\0")
-            at += 10 + n
-        start = stop
+    while len(media) >= start + 10 and (media[start : start + 3] == b"ID3" or media[start : start + 8] == b"APETAGEX"):
+        if media[start : start + 3] == b"ID3":
+            start = _id3v2(media, start, fields)
+            continue
+        size, count, flags = struct.unpack_from("<III", media.ljust(start + 32, b"\0"), start + 12)
+        if not flags >> 29 & 1:  # no header
+            break
+        _ape(media, start + 32, min(len(media), start + size), count, fields)
+        start = min(len(media), start + 32 + size)
     if end - start >= 128 and media[end - 128 : end - 125] == b"TAG":
         end -= 128
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
             fields[f"v1:{name}"] = media[end + a : end + b].split(b"\0")[0].decode("latin-1").rstrip()
+    if end - start >= 32 and media[end - 32 : end - 24] == b"APETAGEX":
+        size, count, flags = struct.unpack_from("<III", media, end - 20)
+        whole = size + 32 * (flags >> 31)
+        if 32 <= size and whole <= end - start:
+            _ape(media, end - size, end - 32, count, fields)
+            end -= whole
     return fields, start, end
 
 
+def _table(media: bytes, at: int, layer: int, body: int, side: int) -> dict | None:
+    """The Xing, Info or VBRI table of the frame at `at`: frames, bytes, toc, kind."""
+    mark = media[body + side : body + side + 4]
+    if layer == 3 and mark in (b"Xing", b"Info"):
+        flags, spot = _big(media[body + side + 4 : body + side + 8]), body + side + 8
+        vbr = {"frames": None, "bytes": None, "toc": b"", "start": at, "kind": mark.decode()}
+        for bit, key in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                vbr[key] = _big(media[spot : spot + 4])
+                spot += 4
+        if flags & 4:
+            vbr["toc"] = media[spot : spot + 100]
+        return vbr
+    if layer == 3 and media[at + 36 : at + 40] == b"VBRI":
+        size, frames, entries, scale, wide, each = struct.unpack_from(">IIHHHH", media.ljust(at + 62, b"\0"), at + 46)
+        toc = [scale * _big(media[at + 62 + i * wide : at + 62 + (i + 1) * wide]) for i in range(entries)]
+        return {"frames": frames, "bytes": size, "toc": toc, "start": at, "kind": "VBRI", "frames_per_entry": each}
+    return None
+
+
 def _follows(media: bytes, at: int, end: int, like: tuple) -> bool:
     if at == end:
         return True
@@ -193,16 +312,7 @@ def read_audio(media: bytes) -> dict:
         body = at + 4 + 2 * protected
         if first is None:
             first = got
-            mark = media[body + side : body + side + 4]
-            if layer == 3 and mark in (b"Xing", b"Info"):
-                flags = int.from_bytes(media[body + side + 4 : body + side + 8], "big")
-                spot, vbr = body + side + 8, {"frames": None, "bytes": None, "toc": b"", "start": at}
-                for bit, key in ((1, "frames"), (2, "bytes")):
-                    if flags & bit:
-                        vbr[key] = int.from_bytes(media[spot : spot + 4], "big")
-                        spot += 4
-                if flags & 4:
-                    vbr["toc"] = media[spot : spot + 100]
+            if (vbr := _table(media, at, layer, body, side)) is not None:
                 at += size
                 continue
         if protected and layer == 3:
@@ -213,6 +323,10 @@ def read_audio(media: bytes) -> dict:
                     pieces.append(media[body + side : at + size])
             else:
                 bad += 1
+        elif protected:
+            bits = protected_bits(head, media[body : min(at + size, body + 64)])
+            sound = bits <= 8 * (size - 6) and crc16_bits(head[2:] + media[body : at + size], 16 + bits) == int.from_bytes(media[at + 4 : at + 6], "big")
+            good, bad = good + sound, bad + (not sound)
         offsets.append(at)
         samples += count
         at += size
@@ -257,7 +371,7 @@ def to_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 _READ = (
     "{id} long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, version string, layer int, sample_rate int, "
-    "channels int, n_frames long, n_samples long, duration_s double, frame_offsets array<long>, crc_ok long, crc_bad long, skipped_bytes long, vbr_exact boolean, tags map<string,string>"
+    "channels int, n_frames long, n_samples long, duration_num long, duration_den long, duration_s double, frame_offsets array<long>, crc_ok long, crc_bad long, skipped_bytes long, vbr_exact boolean, tags map<string,string>"
 )
 
 
@@ -265,24 +379,24 @@ def read_audio_columns(df: DataFrame, id_col: str = "doc_id", media_col: str = "
     """The columns of read_audio() for each media value, with digests of the payload that was read back."""
     schema = _READ.format(id=id_col)
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.map_(pa.string(), pa.string())]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.map_(pa.string(), pa.string())]
 
     def row(media: bytes | None) -> tuple:
         if media is None:
-            return (None,) * 18
+            return (None,) * 20
         x = read_audio(media)
         p, declared = x["payload"], x["tags"].get("TXXX:payload_bytes", "")
         if declared.isdigit() and len(p) < int(declared):
             raise ValueError(f"payload of {len(p)} bytes, {declared} declared")
         return (
             len(media), hashlib.sha256(media).hexdigest(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-_ALIGN:]), x["version"], x["layer"], x["sample_rate"], x["channels"],
-            len(x["offsets"]), x["n_samples"], float(x["duration"]), x["offsets"].tolist(), x["crc_ok"], x["crc_bad"], x["skipped"], x["vbr_exact"], list(x["tags"].items()),
+            len(x["offsets"]), x["n_samples"], x["duration"].numerator, x["duration"].denominator, float(x["duration"]), x["offsets"].tolist(), x["crc_ok"], x["crc_bad"], x["skipped"], x["vbr_exact"], list(x["tags"].items()),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in rows_of(batch, BATCH_BYTES):
-                columns = list(zip(*(row(m.as_py()) for m in part.column(2)), strict=True)) or [()] * 18
+                columns = list(zip(*(row(m.as_py()) for m in part.column(2)), strict=True)) or [()] * 20
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, types[2:], strict=True))], names)
 
     return map_batches(df.select(F.col(id_col).cast("long").alias(id_col), "n_bytes", media_col), run, schema)

@@ -78,6 +78,85 @@ def test_audio_reader_resynchronises_and_verifies():
         assert len(audio.read_audio(nothing)["offsets"]) == 0
 
 
+def frame(head, body, crc_bits=None):
+    """A frame of a header, with a checksum over crc_bits of the body, by the definition of the polynomial."""
+    size = audio.parse_header(head)[5]
+    if head[1] & 1:
+        return (head + body).ljust(size, b"\0")
+    c = 0xFFFF
+    bits = "".join(f"{b:08b}" for b in head[2:] + body)[: 16 + crc_bits]
+    for bit in bits:
+        c = (c << 1 ^ (0x8005 if c >> 15 ^ int(bit) else 0)) & 0xFFFF
+    return (head + c.to_bytes(2, "big") + body).ljust(size, b"\0")
+
+
+def test_checksums_of_layers_one_and_two():
+    body = bytes(random.Random(1).randbytes(100))
+    one = bytes((0xFF, 0xFE, 0x90, 0x00))  # Layer I, stereo: 32 subbands of 4 bits for each channel
+    assert audio.read_audio(frame(one, body, 256) * 3)["crc_ok"] == 3
+    joint = bytes((0xFF, 0xFE, 0x90, 0x40 | 0x10))  # shared from subband 8 on
+    assert audio.read_audio(frame(joint, body, 4 * (16 + 24)) * 2)["crc_ok"] == 2
+    mono = bytes((0xFF, 0xFC, 0xA4, 0xC0))  # Layer II, 192 kbit/s, 48 kHz, mono: table a
+    widths = [4] * 11 + [3] * 12 + [2] * 4
+    bits = "".join(f"{b:08b}" for b in body)
+    used, at = 0, 0
+    for w in widths:
+        used += "1" in bits[at : at + w]
+        at += w
+    good = frame(mono, body, sum(widths) + 2 * used)
+    got = audio.read_audio(good * 2)
+    assert (got["layer"], got["crc_ok"], got["crc_bad"]) == (2, 2, 0)
+    bad = bytearray(good)
+    bad[8] ^= 8
+    assert audio.read_audio(good + bytes(bad))["crc_bad"] == 1
+    low = bytes((0xFF, 0xF4, 0x84, 0xC0))  # MPEG-2, Layer II
+    assert audio.read_audio(frame(low, bytes(80), sum([4] * 4 + [3] * 7 + [2] * 19)) * 2)["crc_ok"] == 2
+
+
+def test_tags_of_all_kinds():
+    sound = audio.write_audio(b"payload" * 40)
+    sound = sound[10 + audio._big(sound[6:10], 7) :]
+    syncsafe = audio._syncsafe
+
+    def v2(version, flags, body, footer=b""):
+        return b"ID3" + bytes((version, 0, flags)) + syncsafe(len(body)) + body + footer
+
+    text = b"\0Song\xff\xe0"
+    three = b"TIT2" + len(text).to_bytes(4, "big") + b"\0\0" + text
+    two = b"TT2" + len(text).to_bytes(3, "big") + text
+    four = b"TIT2" + syncsafe(len(text)) + b"\0\0" + text
+    extended = (6).to_bytes(4, "big") + bytes(6)
+    for tag, name in (
+        (v2(3, 0, three), "TIT2"), (v2(3, 0x80, three.replace(b"\xff", b"\xff\0")), "TIT2"), (v2(3, 0x40, extended + three), "TIT2"), (v2(2, 0, two), "TT2"), (v2(4, 0, four), "TIT2"),
+        (v2(4, 0x40, syncsafe(6) + b"\1\0" + four), "TIT2"), (v2(4, 0x10, four, b"3DI" + bytes(7)), "TIT2"), (v2(4, 0, b"TIT2" + syncsafe(len(text) + 5) + b"\0\3" + syncsafe(len(text)) + text.replace(b"\xff", b"\xff\0")), "TIT2"),
+    ):
+        got = audio.read_audio(tag + sound)
+        assert got["tags"][name] == "Song\xff\xe0" and got["skipped"] == 0 and got["vbr_exact"] and got["payload"][:280] == b"payload" * 40
+    item = (4).to_bytes(4, "little") + bytes(4) + b"Title\0" + b"Name"
+    foot = b"APETAGEX" + (2000).to_bytes(4, "little") + (len(item) + 32).to_bytes(4, "little") + (1).to_bytes(4, "little")
+    v1 = b"TAG" + b"title".ljust(125, b"\0")
+    for tail in (item + foot + bytes(12), item + foot + bytes(12) + v1, foot + (0xA0000000).to_bytes(4, "little") + bytes(8) + item + foot + (0x80000000).to_bytes(4, "little") + bytes(8)):
+        got = audio.read_audio(sound + tail)
+        assert got["tags"]["APE:Title"] == "Name" and got["skipped"] == 0 and got["vbr_exact"]
+    fake = b"x" * 40 + b"APETAGEX" + (2000).to_bytes(4, "little") + (40).to_bytes(4, "little") + bytes(16) + b"y" * 9
+    for n in range(1, 1500, 7):
+        payload = b"z" * n + fake[:-9]
+        assert audio.read_audio(audio.write_audio(payload))["payload"] == payload
+
+
+def test_vbri_table_and_exact_duration(spark):
+    head = audio._frame_head(9, protected=False)
+    size = audio.parse_header(head)[5]
+    sound = (head + bytes(size - 4)) * 6
+    table = b"VBRI" + (1).to_bytes(2, "big") + bytes(4) + (7 * size).to_bytes(4, "big") + (6).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (3, 2, 2, 2)) + b"".join((size).to_bytes(2, "big") for _ in range(3))
+    media = (head + bytes(32) + table).ljust(size, b"\0") + sound
+    got = audio.read_audio(media)
+    assert got["vbr"]["kind"] == "VBRI" and got["vbr"]["frames"] == 6 and got["vbr"]["toc"] == [2 * size] * 3 and got["vbr_exact"] and len(got["offsets"]) == 6
+    df = spark.createDataFrame([(1, 0, bytearray(media)), (2, 0, bytearray(b"none")), (3, 0, None)], "doc_id long, n_bytes long, media binary")
+    rows = {r["doc_id"]: (r["duration_num"], r["duration_den"]) for r in audio.read_audio_columns(df).collect()}
+    assert Fraction(*rows[1]) == Fraction(6 * 1152, 32000) and rows[2] == (0, 1) and rows[3] == (None, None)
+
+
 def test_headers_against_known_frames():
     assert audio.parse_header(b"\xff\xfb\x90\x00")[3:7] == (44100, 2, 417, 1152)  # 128 kbit/s
     assert audio.parse_header(b"\xff\xfb\x92\x00")[5] == 418
