@@ -119,14 +119,15 @@ def _row_text(value: Column, kind: T.StructType) -> Column:
     return F.concat_ws("|", *(format_scalar(value.getField(f.name), f.dataType) for f in kind.fields))
 
 
-def _inline(value: Column, kind: T.ArrayType) -> Column:
+def inline_array(value: Column, kind: T.ArrayType) -> Column:
+    """An array of scalars behind its name."""
     return F.concat(F.lit("["), F.size(value).cast("string"), F.lit("]: "), F.array_join(F.transform(value, lambda x: format_scalar(x, kind.elementType)), ","))
 
 
 def _array_lines(head: Column, value: Column, kind: T.ArrayType, depth: int, bare: Column) -> Column:
     """Lines of an array behind `head`; `bare`: whether the header goes without fields."""
     if _scalar(kind.elementType):
-        return F.array(F.when(F.size(value) == 0, F.concat(head, F.lit("[0]"))).otherwise(F.concat(head, _inline(value, kind))))
+        return F.array(F.when(F.size(value) == 0, F.concat(head, F.lit("[0]"))).otherwise(F.concat(head, inline_array(value, kind))))
     if not isinstance(kind.elementType, T.StructType) or not all(_scalar(f.dataType) for f in kind.elementType.fields):
         raise WireError("invalid_field_declaration", f"{kind.simpleString()}: use documents")
     names = [f.name for f in kind.elementType.fields]
@@ -187,10 +188,16 @@ def row_lines(df: DataFrame, plan: TablePlan) -> DataFrame:
 def encode_table(df: DataFrame, order: list[str | Column], name: str | None = None, flatten: bool = True, keyed: bool = False, count: int | None = None) -> DataFrame:
     """Lines (row, sub, line) of a table, the wire header (row -2) and its own header (row -1) included.
 
-    The order must be total.  The count in the header is counted unless given."""
+    The order must be total.  The count in the header is counted unless given.  keyed: the first column holds the keys of
+    a map of two members at least, each once."""
     placed = with_row_index(df, *order)
     plan = plan_table(placed, flatten)
-    n = df.count() if count is None else count
+    n = placed.count() if count is None else count
+    if keyed:
+        if n < 2 or len(plan.columns) < 2:
+            raise WireError("invalid_count", "a keyed table has two members and a key and a field at least")
+        if (twice := placed.groupBy(f"`{df.columns[0]}`").count().filter("count > 1").first()) is not None:
+            raise WireError("duplicate_key", twice[0])
     title = "## " if name is None else f"## {key_text(name)} "
     head = title + (f"[{n}{':' if keyed else ''}]{declaration(plan.names)}" if n else "[0]")
     spark = df.sparkSession

@@ -281,7 +281,7 @@ def inline_array_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
     names = lists.select("p_brand", F.transform("x", lambda s: s["p_name"]).alias("x"))
     kind = names.schema["x"].dataType
-    return names.select("p_brand", tables._inline(F.col("x"), kind).alias("line"))
+    return names.select("p_brand", tables.inline_array(F.col("x"), kind).alias("line"))
 
 
 @_query(

@@ -112,7 +112,7 @@ def _tree(rng, depth):
 
 def test_random_documents_round_trip():
     rng, seen = random.Random(42), {">": 0, "[": 0, "^{": 0, ":]": 0}
-    for _ in range(4000):
+    for _ in range(20_000):
         value = _tree(rng, 4)
         for flatten in (True, False):
             wire = encode(value, flatten)

@@ -263,3 +263,55 @@ def test_delta_rows_are_scalars(spark):
             D.decode_delta(lines_of(spark, f"{head}1|{cell}\n"), schema)[1].collect()
     again = D.decode_delta(lines_of(spark, "GCF profile=generic delta=true key=id\n## added [1]{@id,n}\n1|a\n## removed [1]{@id}\n4\n## added [1]{@id,n}\n2|b\n"), schema)[1]
     assert sorted((r["_op"], r["id"], r["n"]) for r in again.collect()) == [("added", 1, "a"), ("added", 2, "b"), ("removed", 4, None)]
+
+
+def test_keyed_tables_are_maps(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n long")
+    assert document.decode(tables.text_of(tables.encode_table(df, ["k"], "m", keyed=True))) == {"m": {"a": {"n": 1}, "b": {"n": 2}}}
+    for bad, code in ((df.limit(1), "invalid_count"), (df.select("k"), "invalid_count"), (df.union(df), "duplicate_key")):
+        with pytest.raises(WireError, match=code):
+            tables.encode_table(bad, ["k"], keyed=True)
+
+
+def test_graph_streams_are_those_of_the_writer(spark):
+    from packframe.streaming.encoders import GraphStream
+
+    rows = [(f"s{i}", "function" if i % 3 else "odd", i / 7, "lsp", (0, 0, 1, 5, 1)[i % 5], i) for i in range(40)]
+    edges = [(f"s{i}", f"s{(i * 7) % 45}", "calls", ("", "new", "unchanged")[i % 3], i) for i in range(40)]
+    names = ("qualifiedName", "kind", "score", "provenance", "distance", "_pos")
+    for labeled in (False, True):
+        out = []
+        stream = GraphStream(out.append, "t", 5, 6, "r", labeled=labeled)
+        for r in rows:
+            stream.symbol(dict(zip(names, r, strict=True)))
+        for e in edges:
+            stream.edge(dict(zip(("source", "target", "edgeType", "status"), e, strict=False)))
+        stream.close()
+        got = G.stream_lines(spark.createDataFrame(rows, SYMBOL), spark.createDataFrame(edges, "source string, target string, edgeType string, status string, _pos long"), "t", 6, 5, "r", labeled)
+        assert G.graph_text(got) == "".join(out)
+    none = G.stream_lines(spark.createDataFrame([], SYMBOL), spark.createDataFrame([], "source string, target string, edgeType string, status string, _pos long"), "t")
+    assert G.graph_text(none) == "GCF profile=graph tool=t\n##! summary symbols=0 edges=0 counts=0\n"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_deltas(spark, seed):
+    """Diff, wire, decoded wire, verification and application of random tables under one another."""
+    import random
+
+    rng = random.Random(seed)
+    texts = ["", "-", "~", "^", "a|b", '"q"', "true", "12", "é\U0001f600", "x\ty\n", "# c", "@1 x", None]
+    schema = "id string, n long, d double, b boolean, t string"
+
+    def row(k):
+        return (k, rng.choice([None, 0, -5, 1 << 62]), rng.choice([None, 0.5, -1e-9, 1e300, float(rng.randint(0, 9))]), rng.choice([None, True, False]), rng.choice(texts))
+
+    keys = [None, *{rng.choice([t for t in texts if t is not None]) + str(rng.randrange(60)) for _ in range(120)}]
+    base = {k: row(k) for k in keys if rng.random() < 0.7}
+    after = {k: (base[k] if k in base and rng.random() < 0.6 else row(k)) for k in keys if rng.random() < 0.7}
+    b, a = (spark.createDataFrame([*x.values()], schema) for x in (base, after))
+    changes = D.diff(b, a, "id")
+    roots_ = roots.table_root(b), roots.table_root(a)
+    _, back = D.decode_delta(lines_of(spark, D.lines_text(D.delta_lines(changes, "id", *roots_))), b.schema)
+    got = D.verify_delta(b, back, "id", *roots_)
+    assert sorted(map(str, got.collect())) == sorted(map(str, a.collect()))
+    assert sorted(map(str, D.decode_full(lines_of(spark, D.lines_text(D.full_lines(a, "id"))), a.schema).collect())) == sorted(map(str, a.collect()))
