@@ -7,7 +7,8 @@ part, the swallowed one and the live left neighbour; each is a point update of l
 bytes takes O(n log n) however it is made up.
 
 Ids of short pieces are remembered in a table of bounded size per worker.  Null texts count as empty, texts are
-encoded whole, repeated rows are repeated, other columns are ignored, an empty table stays empty.
+encoded whole however long they are, repeated rows are repeated, other columns are ignored, whatever their names, an
+empty table stays empty.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ escaped one level more, until it is.  Escaping puts one more backslash into ever
 one out.  One level always suffices, and the query fails loudly if it ever did not.
 
 Defined results: null texts and roles are empty strings; rows of a conversation are ordered by turn (nulls first),
-then role, then text; repeated rows are turns of their own; a null conv_id is a conversation like any other; other
-columns are ignored; an empty table has no conversations.
+then role, then text; repeated rows are turns of their own; a null conv_id is a conversation like any other; very
+long texts are turns like any other (a conversation is one row, of 2 GB at most); other columns are ignored, whatever
+their names; an empty table has no conversations.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Texts are lower-cased; each run of characters that aren't letters is one blank,
 
 Defined results: texts that are null or without letters, and all texts where nothing was learned, get `und` and
 score 0; equal cosines go to the language that sorts first; null languages aren't learned; repeated rows are repeated;
-other columns are ignored; an empty table stays empty.
+very long texts are read whole, each as one vector; other
+columns are ignored, whatever their names; an empty table stays empty.
 
 Of n-grams that weren't learned a text's cosine with a prototype is noise of deviation 1 / sqrt(DIMENSIONS), whatever
 its length.  accept() takes scores of three of these or more.  Texts of fewer than SHORT letters in learned languages

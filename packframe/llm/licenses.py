@@ -12,8 +12,8 @@ matches of a family (near relatives, see FAMILIES) that overlap, those stay that
 shingles and has a better share, or a template that contains the other's.
 
 Words are runs of letters, digits and bytes from 0x80 on, in lower case.  Defined results: null and empty texts have
-no matches; a text with repeated notices has a row for each; repeated rows are repeated; other columns are ignored; an
-empty table has no matches.
+no matches; a text with repeated notices has a row for each; very long texts are scanned whole; repeated rows are repeated;
+other columns are ignored, whatever their names; an empty table has no matches.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ Pieces of one length are interchangeable: each is numbered among its equals (in
 added), and the number picks the copy of a pattern, hence its sequence and the place in it.
 
 Defined results: null and empty texts are the end token alone; documents over the capacity are cut into full pieces
-and a last one; repeated rows are packed as often as they occur; other columns are ignored; an empty table has no
-pieces.
+and a last one; very long ones are tokenised whole; repeated rows are packed as often as they occur;
+other columns are ignored, whatever their names; an empty table has no pieces.
 """
 
 from __future__ import annotations

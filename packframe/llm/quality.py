@@ -7,7 +7,8 @@ determinants from Cholesky factors that are computed once) plus the log odds of
 
 Defined results: null and empty texts are scored as texts without words; rows without a label are scored alike; where
 a class has no labelled row, the score is the share of label 1 (0.5 without labels); ids that are labelled repeatedly
-count repeatedly; repeated rows are repeated; other columns are ignored; an empty table stays empty.
+count repeatedly; repeated rows are repeated; very long texts are measured whole; a score of exactly one
+half is predicted as 1; other columns are ignored, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -27,6 +27,25 @@ def brute_force(text, templates=TEMPLATES):
     return out
 
 
+def brute_spans(text, name, template):
+    """Spans and shares of one template, place by place."""
+    spots = [(m.start(), m.end()) for m in re.finditer(rb"[A-Za-z0-9\x80-\xff]+", text)]
+    w, tw = words_of(text), words_of(template.encode())
+    k = min(5, len(tw))
+    grams = lambda x: [tuple(x[i : i + k]) for i in range(len(x) - k + 1)]
+    own, length, need = grams(w), len(tw) - k + 1, {*grams(tw)}
+    out = []
+    for right in (i for i, g in enumerate(own) if g in need):
+        inside = [i for i in range(max(0, right - length + 1), right + 1) if own[i] in need]
+        share = len({own[i] for i in inside}) / len(need)
+        if share >= LEAST:
+            if out and inside[0] <= out[-1][1]:
+                out[-1] = (out[-1][0], right, max(out[-1][2], share))
+            else:
+                out.append((inside[0], right, share))
+    return [(name, spots[a][0], spots[b + k - 1][1], s) for a, b, s in out]
+
+
 def noisy(rng, text, edits):
     w = text.split(" ")
     for _ in range(min(edits, len(w) - 1)):
@@ -50,6 +69,25 @@ def test_matches_are_brute_force(seed):
         assert {m[0] for m in got} == brute_force(text)
 
 
+def test_spans_and_shares_are_brute_force():
+    rng = random.Random(11)
+    filler = ["the", "license", "under", "software", "all", "rights"]
+    every = TEMPLATES | licenses.RELATIVES
+    hits = 0
+    for name, template in every.items():
+        texts = []
+        for _ in range(12):
+            parts = [" ".join(rng.choice(filler) for _ in range(rng.randint(0, 30)))]
+            for _ in range(rng.randint(1, 3)):
+                parts += [noisy(rng, template, rng.randint(0, 3)), " ".join(rng.choice(filler) for _ in range(rng.choice([0, 1, 30])))]
+            texts.append(" ".join(parts).encode())
+        for text, got in zip(texts, Scanner({name: template}).scan(texts), strict=True):
+            want = brute_spans(text, name, template)
+            assert [m[:3] for m in got] == [m[:3] for m in want] and np.allclose([m[3] for m in got], [m[3] for m in want])
+            hits += len(want)
+    assert hits > 12 * len(every)
+
+
 def test_spans_and_edges():
     text = "é. All  Rights\nreserved! no; ALL RIGHTS RESERVED".encode()
     got = Scanner(TEMPLATES).scan([None, b"", text, b"all rights", b"  ", b"x " * 400_000 + b"released under the mit license"])
