@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from packframe.streaming.storage import stored
 
@@ -21,14 +22,16 @@ def with_row_index(df: DataFrame, *order: str | Column, index: str = "_row") ->
     that were written.  What is summed up over partitions is one count for each.  Rows that are equal in `order` may
     come in any order; an empty table stays empty; columns of any name but `_packframe_*` are kept."""
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    void = {f.name for f in df.schema.fields if isinstance(f.dataType, NullType)}  # has no form in a file, and needs none
     split = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     number = F.monotonically_increasing_id()
-    placed = stored(split.select("*", F.shiftright(number, _ROW_BITS).cast("int").alias("_packframe_part"), number.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_packframe_place")), "ordered")
+    placed = stored(split.select(*(f"`{c}`" for c in df.columns if c not in void), F.shiftright(number, _ROW_BITS).cast("int").alias("_packframe_part"), number.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_packframe_place")), "ordered")
     counts = placed.groupBy("_packframe_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_packframe_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_packframe_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_packframe_before"))  # a row a partition
     joined = placed.join(F.broadcast(offsets), "_packframe_part")
-    return joined.select(*(f"`{c}`" for c in df.columns), (F.col("_packframe_before") + F.col("_packframe_place")).alias(index))
+    kept = (F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns)
+    return joined.select(*kept, (F.col("_packframe_before") + F.col("_packframe_place")).alias(index))
 
 
 def carry_last(df: DataFrame, values: dict[str, Column], pos: str = "pos", bucket: int = BUCKET) -> DataFrame:

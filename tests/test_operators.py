@@ -315,3 +315,10 @@ def test_random_deltas(spark, seed):
     got = D.verify_delta(b, back, "id", *roots_)
     assert sorted(map(str, got.collect())) == sorted(map(str, a.collect()))
     assert sorted(map(str, D.decode_full(lines_of(spark, D.lines_text(D.full_lines(a, "id"))), a.schema).collect())) == sorted(map(str, a.collect()))
+
+
+def test_columns_without_a_type(spark):
+    df = spark.range(3).withColumn("odd name", F.lit(None))
+    got = with_row_index(df, F.desc("id"), index="i")
+    assert got.columns == ["id", "odd name", "i"] and sorted(map(tuple, got.collect())) == [(0, None, 2), (1, None, 1), (2, None, 0)]
+    assert document.decode(tables.text_of(tables.encode_table(df, ["id"]))) == [{"id": i, "odd name": None} for i in range(3)]
