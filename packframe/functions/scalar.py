@@ -40,64 +40,54 @@ def unquote_string(text: Column) -> Column:
     return F.when(sound, F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string")["v"])
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value in the plan once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _nearest(size: Column, form: Column) -> Column:
-    """Of the numerals of 17 digits that read back as `size`, the nearest of those that end with 0 or, without any, of all (of
-    two the even one), like `form` (d.dde±x, of 16 or 17 digits, one of them).
-
-    The runtime's own digits are one of these numerals, but not always that one.  All that read back are a run of
-    neighbours; its ends are found to five more digits, and the number is in their middle (at a third, for a power of
-    two, below which numbers are twice as dense)."""
-
-    def numeral(e: Column, d: Column) -> Column:
-        reads = lambda digits, more: F.concat(digits, F.lit("E"), (e - 16 - more).cast("string")).cast("double") == size
-        near = F.filter(F.transform(F.sequence(F.lit(-25), F.lit(25)), lambda k: d + k), lambda c: reads(c.cast("string"), 0))
-        tens, steps = F.sequence(F.lit(0), F.lit(9)), F.sequence(F.lit(1), F.lit(5))
-        filled = lambda acc, j, digit, k: F.concat(acc, j.cast("string"), F.repeat(F.lit(digit), F.lit(5) - k))
-        low = lambda c: F.aggregate(steps, (c - 1).cast("string"), lambda acc, k: F.concat(acc, F.coalesce(F.array_min(F.filter(tens, lambda j: reads(filled(acc, j, "9", k), 5))), F.lit(9)).cast("string")))
-        high = lambda c: F.aggregate(steps, c.cast("string"), lambda acc, k: F.concat(acc, F.coalesce(F.array_max(F.filter(tens, lambda j: reads(filled(acc, j, "0", k), 5))), F.lit(0)).cast("string")))
-        part = F.when((F.pow(F.lit(2.0), F.round(F.log2(size))) == size) & (size > 2.0**-1022), 3).otherwise(2)
-        ends = lambda n: F.struct(low(F.array_min(n)).cast("decimal(24,0)").alias("a"), high(F.array_max(n)).cast("decimal(24,0)").alias("b"))
-        # in units of 1e-5 of the 17th digit; what is within 2 of a tie is one
-        middle = lambda y: F.bround((y["a"] + (y["b"] - y["a"]) / part) / 4, 0).cast("decimal(24,0)") * 4
-        tie = lambda v: F.abs(F.pmod(v, F.lit(100_000)) - 50_000) <= 4
-        whole = lambda v: F.floor(v / 100_000).cast("long")
-        rounded = lambda v: F.when(tie(v), whole(v) + F.pmod(whole(v), F.lit(2))).otherwise(F.round(v / 100_000, 0).cast("long"))
-        tens_of = lambda n: F.filter(n, lambda c: c % 10 == 0)
-        closest = lambda n, v: F.array_min(F.transform(tens_of(n), lambda c: F.struct(F.abs(c.cast("decimal(18,0)") * 100_000 - v).alias("far"), c.alias("c"))))["c"]
-        several = lambda n: F.size(tens_of(n)) > 1
-        chosen = _let(near, lambda n: F.when(F.size(tens_of(n)) == 1, F.element_at(tens_of(n), 1)).otherwise(_let(_let(ends(n), middle), lambda v: F.when(several(n), closest(n, v)).otherwise(rounded(v)))))
-        chosen = chosen.cast("string")
-        return _let(chosen, lambda m: F.concat(F.substr(m, F.lit(1), F.lit(1)), F.lit("."), F.rtrim(F.substr(m, F.lit(2)), F.lit("0")), F.lit("e"), (e + F.length(m) - 17).cast("string")))
-
-    return _let(F.substring_index(form, "e", -1).cast("int"), lambda e: _let(F.rpad(F.replace(F.substring_index(form, "e", 1), F.lit(".")), 17, "0").cast("long"), lambda d: numeral(e, d)))
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body with `name` for value."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _exponent_form() -> str:
+    """SQL of a lambda from a double to its shortest digits with an exponent, the nearest of those that are as short.
+
+    `f` are the shortest of the runtime's digits that read back.  Of 16 or 17 digits they aren't always the nearest.  The
+    numerals of 17 digits that read back are a run of neighbours `n`; its ends are found to five more digits, and the number
+    is in their middle `w` (at a third, for a power of two, below which numbers are twice as dense).  Those that end with 0
+    are shorter and go first; of two as near the even one counts.  As text, since it is parsed once and not built call by
+    call."""
+    reads = lambda digits, more: f"cast(concat({digits}, 'E', cast(p.e - {16 + more} as string)) as double) = s"
+    end = lambda start, least, digit, other: (
+        f"cast(aggregate(sequence(1, 5), cast({start} as string), (acc, k) -> concat(acc, cast(coalesce({least}(filter(sequence(0, 9), "
+        f"j -> {reads(f'acc, cast(j as string), repeat({digit!r}, 5 - k)', 5)})), {other}) as string))) as decimal(24, 0))"
+    )
+    part = "CASE WHEN pow(2.0D, round(log2(s))) = s AND s > 2.2250738585072014E-308D THEN 3 ELSE 2 END"
+    ends = f"named_struct('a', {end('array_min(n) - 1', 'array_min', '9', 9)}, 'b', {end('array_max(n)', 'array_max', '0', 0)})"
+    middle = _let("y", ends, f"cast(bround((y.a + (y.b - y.a) / {part}) / 4, 0) as decimal(24, 0)) * 4")
+    tens = "filter(n, c -> c % 10 = 0)"
+    chosen = (
+        f"CASE WHEN size({tens}) > 1 THEN array_min(transform({tens}, c -> named_struct('far', abs(cast(c as decimal(18, 0)) * 100000 - w), 'c', c))).c"
+        " WHEN abs(pmod(w, 100000) - 50000) <= 4 THEN cast(floor(w / 100000) as bigint) + pmod(cast(floor(w / 100000) as bigint), 2L) ELSE cast(round(w / 100000, 0) as bigint) END"
+    )
+    digits = f"cast(CASE WHEN size({tens}) = 1 THEN element_at({tens}, 1) ELSE {_let('w', middle, chosen)} END as string)"
+    near = _let("m", digits, "concat(substr(m, 1, 1), '.', regexp_replace(substr(m, 2), '0+$', ''), 'e', cast(p.e + length(m) - 17 as string))")
+    run = f"filter(transform(sequence(-25, 25), k -> p.d + k), c -> {reads('cast(c as string)', 0)})"
+    parts = "named_struct('e', cast(substring_index(f, 'e', -1) as int), 'd', cast(rpad(replace(substring_index(f, 'e', 1), '.', ''), 17, '0') as bigint))"
+    doubtful = "length(substring_index(f, 'e', 1)) >= 17 AND length(regexp_replace(substring_index(cast(s as string), 'E', 1), '[.]|0+$', '')) >= 17"
+    form = f"CASE WHEN {doubtful} THEN {_let('p', parts, _let('n', run, near))} ELSE f END"
+    shortest = "element_at(filter(transform(sequence(0, 16), d -> format_string(concat('%.', cast(d as string), 'e'), s)), t -> cast(t as double) = s), 1)"
+    exponent = "cast(substring_index(g, 'e', -1) as int)"
+    shown = f"concat(CASE WHEN v < 0 THEN '-' ELSE '' END, substring_index(g, 'e', 1), CASE WHEN {exponent} < 0 THEN 'e-' ELSE 'e+' END, cast(abs({exponent}) as string))"
+    return "v -> " + _let("s", "abs(v)", _let("g", _let("f", shortest, form), shown))
+
+
+_EXPONENT_FORM = _exponent_form()
 
 
 def number_text(x: Column) -> Column:
     """Shortest digits of a double: plain from 1e-6 up to 2**53, else with an exponent; what isn't finite is 0."""
     size = F.abs(x)
-    # the shortest form that reads back as the same number; bound by lambdas, so that it stands in the plan once
-    forms = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda d: F.call_function("format_string", F.concat(F.lit("%."), d.cast("string"), F.lit("e")), x))
-    exact = F.filter(forms, lambda f: f.cast("double") == x)
-
-    def written(form: Column) -> Column:
-        sign = F.when(x < 0, "-").otherwise("")
-        bare = F.ltrim(form, F.lit("-"))
-        digits = F.length(F.regexp_replace(F.substring_index(size.cast("string"), "E", 1), r"[.]|0+$", ""))
-        return F.when((F.length(F.substring_index(bare, "e", 1)) < 17) | (digits < 17), shown(form)).otherwise(F.concat(sign, shown(_nearest(size, bare))))
-
-    def shown(form: Column) -> Column:
-        exponent = F.substring_index(form, "e", -1).cast("int")
-        return F.concat(F.substring_index(form, "e", 1), F.when(exponent < 0, "e-").otherwise("e+"), F.abs(exponent).cast("string"))
-
     return (
         F.when(F.isnan(x) | (size == float("inf")) | (x == 0), "0")
         .when((size >= 1e-6) & (size < 2.0**53), F.call_function("format_number", x, F.lit(_PLAIN_DIGITS)))
-        .otherwise(F.element_at(F.transform(F.slice(exact, 1, 1), written), 1))
+        .otherwise(F.element_at(F.call_function("transform", F.array(x), F.expr(_EXPONENT_FORM)), 1))
     )
 
 
